@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,15 @@ def text_bytes(text: Column | str) -> Column:
     return F.coalesce(col, F.lit("")).cast("binary")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row.
+
+    An array that a lambda refers to would be computed again for each element, as the
+    optimizer merges projections; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def id_crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
