@@ -7,18 +7,18 @@ confirm each link.
 
 Two sets of similarity 0.85 share at least ``s`` values of their sketches (for
 sketches that hold the whole set, certainly; for longer ones all but about one
-pair in 10^8), so that they share one of the ``k - s + 1`` values that come
+pair in two millions), so that they share one of the ``k - s + 1`` values that come
 first in any common order. Ordering by how many sketches hold a value
 puts common phrases last: lists of frequent phrases are not
 searched for the sake of the phrase.
 
-Within a list no pairs are multiplied out. One member is the pivot and is compared
-with all others; members that link with it leave the list. By the triangle
-inequality of the Jaccard distance such a member can link only with others whose
-similarity to the pivot is at least 0.7 (the shell), and those pairs are
-compared as far as the two distances allow; the rest of the list, shell
-included, takes a new pivot. What is left after some rounds is compared pair by
-pair, so that no link between different texts is lost.
+Within a list no pairs are multiplied out at first. One member is the pivot and is
+compared with all others; in further rounds another pivot of each list is
+compared with the members that no link has joined to it yet. Copies of one
+text are one component after that, whatever their number. What is left, members of one
+list in different components, is compared pair by pair unless the triangle
+inequality of the Jaccard distance, by the distances to the first pivot, rules a
+link out; so no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ from .components import connected_components
 from .scratch import Scratch, text_bytes
 
 WORDS = 5
-SKETCH = 48
-#: Least number of shared sketch values of a pair at the threshold; Binomial(48, 0.85) is below it once in 10^8.
-SHARED = 24
+SKETCH = 32
+#: Least number of shared sketch values of a pair at the threshold; Binomial(32, 0.85) is below it five times in 10^7.
+SHARED = 16
 ROUNDS = 3
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -133,7 +133,7 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scr
 
 def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, shared: int, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between classes; see the module's text."""
-    postings = classes.select("cid", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    postings = classes.select("cid", F.size("sketch").cast("byte").alias("size"), F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df >= 2")
     by_class = Window.partitionBy("cid")
     place = F.col("size") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("df", "value"))
@@ -151,27 +151,41 @@ def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, pe
         links.append(found.where(is_link).select("a", "b"))
         return found
 
-    for _ in range(rounds):
-        heads = lists.groupBy("value").agg(F.min("cid").alias("a"), F.count("*").alias("m")).where("m >= 2").drop("m")
-        stars = scratch.keep(lists.join(heads, "value").where("cid <> a").select("value", "a", F.col("cid").alias("b")), "stars")
-        if stars.isEmpty():
-            return _all(links)
-        settle(stars.select("a", "b").distinct())
-        known = scratch.keep(_all([c.select("a", "b", "both", "either") for c in compared]), "known")
-        member = stars.join(known, ["a", "b"])
-        ball = member.where(is_link).select("value", F.col("b").alias("x"), (1 - F.col("both") / F.col("either")).alias("dx"))
-        shell = member.where(~is_link & (F.col("both") * 10 >= F.col("either") * 7))
-        shell = shell.select("value", F.col("b").alias("y"), (1 - F.col("both") / F.col("either")).alias("dy"))
-        close = (F.col("dy") - F.col("dx")) <= 1 - percent / 100 + 1e-9
-        across = ball.join(shell, "value").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        across = scratch.keep(across, "across")
-        if not across.isEmpty():
-            settle(across)
-        rest = stars.join(known.where(is_link).select("a", "b"), ["a", "b"], "left_anti").select("value", F.col("b").alias("cid"))
-        lists = scratch.keep(rest, "lists")
-    other = lists.withColumnRenamed("cid", "b")
-    rest = lists.withColumnRenamed("cid", "a").join(other, "value").where("a < b").select("a", "b").distinct()
-    settle(scratch.keep(rest, "rest"))
+    bounds = None
+    for turn in range(rounds):
+        members = lists
+        if turn:
+            joined = scratch.keep(connected_components(_all(links), scratch), "joined")
+            members = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("value", "cid", F.coalesce("root", "cid").alias("root"))
+            mixed = members.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
+            members = scratch.keep(members.join(mixed, "value"), "members")
+            if members.isEmpty():
+                return _all(links)
+            order = F.xxhash64("cid", F.lit(turn))
+            heads = members.groupBy("value").agg(F.min(F.struct(order.alias("o"), "cid", "root")).alias("h"))
+            heads = heads.select("value", F.col("h.cid").alias("head"), F.col("h.root").alias("head_root"))
+            pairs = members.join(heads, "value").where("root <> head_root")
+            settle(pairs.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct())
+        else:
+            heads = lists.groupBy("value").agg(F.min("cid").alias("a"), F.count("*").alias("m")).where("m >= 2").drop("m")
+            stars = scratch.keep(lists.join(heads, "value").select("value", "a", F.col("cid").alias("b")), "stars")
+            found = settle(stars.where("a <> b").select("a", "b").distinct())
+            away = 1 - F.col("both") / F.col("either")
+            known = found.select("a", "b", away.alias("low"), away.alias("high"))
+            near = F.when(F.col("a") == F.col("b"), 0.0)
+            bounds = stars.join(known, ["a", "b"], "left").select(
+                "value", F.col("b").alias("cid"), F.coalesce("low", near, F.lit(0.3)).alias("low"), F.coalesce("high", near, F.lit(1.0)).alias("high")
+            )
+            bounds = scratch.keep(bounds, "bounds")
+            lists = stars.select("value", F.col("b").alias("cid"))
+    joined = scratch.keep(connected_components(_all(links), scratch), "joined")
+    open_ = bounds.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("value", "cid", "low", "high", F.coalesce("root", "cid").alias("root"))
+    mixed = open_.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
+    open_ = scratch.keep(open_.join(mixed, "value"), "open")
+    one, two = (open_.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "low", "high", "root"))) for x in "ab")
+    apart = F.greatest(F.col("low_a") - F.col("high_b"), F.col("low_b") - F.col("high_a"))
+    cross = one.join(two, "value").where((F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (apart <= 1 - percent / 100 + 1e-9))
+    settle(scratch.keep(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "cross"))
     return _all(links)
 
 
