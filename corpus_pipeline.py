@@ -1,2 +1,64 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline of five stages, each one operator over all that the stage before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dialoom.llm import decontaminate, lines, minhash, packing, quality
+from dialoom.llm.queries import tokenizer_path
+from dialoom.llm.scratch import Scratch
+
+
+def _keep_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` (doc_id), with all their columns."""
+    kept = Scratch(docs.sparkSession, "pipeline").keep(ids.select(F.col("doc_id").alias("__kept")).distinct(), name)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; a repeated id stays if one of its texts is accepted."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score_documents(docs, labels)
+    return _keep_ids(docs, scored.where("predicted = 1"), "accepted")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of repeated line runs; documents left without any text go."""
+    cut = lines.dedup_lines(docs).where(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n"))) > 0)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return _keep_ids(docs, minhash.near_duplicates(docs).where("kept"), "representatives")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # a trained classifier decides in the first stage; tests/llm holds a brute-force version of the rest
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written once and read again."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

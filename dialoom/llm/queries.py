@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, minhash, ogg, packing, quality, sharding
+from . import brown, decontaminate, lines, minhash, ogg, packing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
@@ -43,9 +47,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity_report(_table(spark, sf_dir, "pages"))
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op6_lines, op7_ogg, op8_quality, op10_winnow)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow)}
 SQL: dict[str, str] = {}
