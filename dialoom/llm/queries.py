@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontaminate, lines, minhash, ogg, packing, quality, sharding, warc
+from . import brown, decontaminate, lines, minhash, ogg, packing, passages, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow)}
 SQL: dict[str, str] = {}
