@@ -94,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scanned = scratch.keep(docs.select(*rows, let(words_of(F.col("text")), scan).alias("s")), "scanned")
     base = scanned.select("row", "doc_id", "s.n_words", "s.words")
     held = base.where("words is not null").select("row", "words")
-    if total > INLINE:
+    if total > INLINE and lengths:
         found = None
         for n in lengths:
             own = base.select("row", F.explode(F.array_distinct(_prints_at(F.col("words"), n))).alias("print"))

@@ -87,8 +87,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> Model:
-    """Logistic loss by Adam over (text, label); without both labels the score is their share."""
+def fit(rows: list[tuple[bytes, int]], steps: int = 1200, rate: float = 0.02, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> Model:
+    """Logistic loss by at least ``steps`` steps of Adam over (text, label); without both labels the score is their share."""
     rng = np.random.default_rng(seed)
     label = np.array([y for _, y in rows], dtype=np.float32)
     share = (label.sum() + 1) / (len(label) + 2)
@@ -101,6 +101,7 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.02, dec
     weights = np.concatenate([model.linear[:, None], model.factors], axis=1)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     step, bias_first, bias_second = 0, 0.0, 0.0
+    epochs = -(-steps * batch // len(rows))
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         pace = rate * (1 - epoch / epochs)
