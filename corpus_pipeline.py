@@ -53,7 +53,7 @@ STAGES = [
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
-ORACLE_SQL = None  # a trained classifier decides in the first stage; tests/llm holds a brute-force version of the rest
+ORACLE_SQL = None  # a trained classifier decides in the first stage; tests/llm compares each operator with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
