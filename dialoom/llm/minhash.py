@@ -12,13 +12,20 @@ first in any common order. Ordering by how many sketches hold a value
 puts common phrases last: lists of frequent phrases are not
 searched for the sake of the phrase.
 
-Within a list no pairs are multiplied out at first. One member is the pivot and is
-compared with all others; in further rounds another pivot of each list is
-compared with the members that no link has joined to it yet. Copies of one
-text are one component after that, whatever their number. What is left, members of one
-list in different components, is compared pair by pair unless the triangle
-inequality of the Jaccard distance, by the distances to the first pivot, rules a
-link out; so no link between different texts is lost.
+Within a list no pairs are multiplied out at first. The member whose sketch is the
+commonest is the pivot and is compared with all others, and so is a second one outside the
+pivot's component. Copies of one text are one component after that, whatever their number.
+
+What is left are members of one list in different components. Lists of at most ``FEW``
+are compared pair by pair. In longer ones, a large group of near copies on both sides of
+the threshold leaves all its pairs open, and neither sketches nor distances to
+the pivot tell them apart. Their differences do: with D the symmetric difference of a member and
+the pivot p, two members differ by ``|Dx ^ Dy|``, so that a link needs an overlap of at least
+``(|Dx| + |Dy| - t) / 2`` with ``t`` the difference that their sizes allow. That is a set
+join again, on sets without what the whole group shares: a link's first common value, in order of
+frequency, lies in a prefix of both. Partners of a member outside p's component
+share about half of their own D with it, so their prefix is short. Members farther than ``FAR`` from p take
+the empty set for p; those about the border are in both groups. No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +46,10 @@ WORDS = 5
 SKETCH = 32
 #: Least number of shared sketch values of a pair at the threshold; Binomial(32, 0.85) is below it five times in 10^7.
 SHARED = 16
-ROUNDS = 3
+#: Longest list whose open pairs are compared one by one; in longer ones the differences from the list's pivot are searched.
+FEW = 8
+#: Jaccard distance from the pivot up to which differences from it are used, and beyond it the sets themselves.
+FAR = 0.5
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -112,7 +122,7 @@ def _least_shared(size: Column, k: int, percent: int, shared: int) -> Column:
     return F.when(size < k, F.floor((size * percent + 99) / 100)).otherwise(shared)
 
 
-def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, both, either) of those pairs that may have a similarity of 0.7 or more, on full sets."""
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -131,64 +141,100 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scr
     return found
 
 
-def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, shared: int, rounds: int = ROUNDS) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, shared: int) -> DataFrame:
     """Links (a, b) between classes; see the module's text."""
     postings = classes.select("cid", F.size("sketch").cast("byte").alias("size"), F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df >= 2")
     by_class = Window.partitionBy("cid")
     place = F.col("size") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("df", "value"))
     prefix = F.col("size") - _least_shared(F.col("size"), k, percent, shared) + 1
-    lists = postings.join(common, "value").withColumn("place", place).where(F.col("place") <= prefix).select("value", "cid")
-    lists = scratch.keep(lists, "lists")
+    lists = postings.join(common, "value").withColumn("place", place).withColumn("weight", F.sum("df").over(by_class))
+    lists = scratch.keep(lists.where(F.col("place") <= prefix).select("value", "cid", "weight"), "lists")
     is_link = F.col("both") * 100 >= F.col("either") * percent
     compared, links = [], []
 
-    def settle(pairs: DataFrame) -> DataFrame:
+    def settle(pairs: DataFrame) -> None:
         for old in compared:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        found = _compare(docs, classes, pairs, scratch, percent)
+        found = _compare(docs, classes, pairs, scratch)
         compared.append(found)
         links.append(found.where(is_link).select("a", "b"))
-        return found
-
-    bounds = None
-    for turn in range(rounds):
-        members = lists
-        if turn:
-            joined = scratch.keep(connected_components(_all(links), scratch), "joined")
-            members = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("value", "cid", F.coalesce("root", "cid").alias("root"))
-            mixed = members.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-            members = scratch.keep(members.join(mixed, "value"), "members")
-            if members.isEmpty():
-                return _all(links)
-            order = F.xxhash64("cid", F.lit(turn))
-            heads = members.groupBy("value").agg(F.min(F.struct(order.alias("o"), "cid", "root")).alias("h"))
-            heads = heads.select("value", F.col("h.cid").alias("head"), F.col("h.root").alias("head_root"))
-            pairs = members.join(heads, "value").where("root <> head_root")
-            settle(pairs.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct())
-        else:
-            heads = lists.groupBy("value").agg(F.min("cid").alias("a"), F.count("*").alias("m")).where("m >= 2").drop("m")
-            stars = scratch.keep(lists.join(heads, "value").select("value", "a", F.col("cid").alias("b")), "stars")
-            found = settle(stars.where("a <> b").select("a", "b").distinct())
-            away = 1 - F.col("both") / F.col("either")
-            known = found.select("a", "b", away.alias("low"), away.alias("high"))
-            near = F.when(F.col("a") == F.col("b"), 0.0)
-            bounds = stars.join(known, ["a", "b"], "left").select(
-                "value", F.col("b").alias("cid"), F.coalesce("low", near, F.lit(0.3)).alias("low"), F.coalesce("high", near, F.lit(1.0)).alias("high")
-            )
-            bounds = scratch.keep(bounds, "bounds")
-            lists = stars.select("value", F.col("b").alias("cid"))
-    joined = scratch.keep(connected_components(_all(links), scratch), "joined")
-    open_ = bounds.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("value", "cid", "low", "high", F.coalesce("root", "cid").alias("root"))
-    mixed = open_.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-    open_ = scratch.keep(open_.join(mixed, "value"), "open")
-    one, two = (open_.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "low", "high", "root"))) for x in "ab")
-    apart = F.greatest(F.col("low_a") - F.col("high_b"), F.col("low_b") - F.col("high_a"))
-    cross = one.join(two, "value").where((F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (apart <= 1 - percent / 100 + 1e-9))
-    settle(scratch.keep(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "cross"))
+
+    def mixed() -> DataFrame:
+        """The lists whose members are in several components, with the roots and the list's length."""
+        joined = scratch.keep(connected_components(_all(links), scratch), "joined")
+        heads = joined.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+        rooted = stars.join(joined.withColumnRenamed("node", "cid"), "cid", "left").join(heads, "head", "left")
+        rooted = rooted.select("value", "cid", "weight", F.coalesce("root", "cid").alias("root"), "head", F.coalesce("head_root", "head").alias("head_root"))
+        kinds = rooted.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        return scratch.keep(rooted.join(kinds.select("value", "m"), "value"), "open")
+
+    def pivot() -> Column:
+        return F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("top")
+
+    heads = lists.groupBy("value").agg(pivot(), F.count("*").alias("m")).where("m >= 2").select("value", (-F.col("top.minus")).alias("head"))
+    stars = scratch.keep(lists.join(heads, "value"), "stars")
+    settle(_ordered(stars, "cid", "head"))
+    others = mixed().where("root <> head_root and m > 2")
+    seconds = others.groupBy("value").agg(pivot()).select("value", (-F.col("top.minus")).alias("second"))
+    settle(_ordered(others.join(seconds, "value"), "cid", "second"))
+    open_ = mixed()
+    one, two = (open_.where(F.col("m") <= FEW).select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "root"))) for x in "ab")
+    few = one.join(two, "value").where("cid_a < cid_b and root_a <> root_b").select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+    groups = open_.where(F.col("m") > FEW).select("head", "cid", "root", (F.col("root") == F.col("head_root")).alias("settled")).distinct()
+    many = _pairs_by_difference(docs, classes, scratch.keep(groups, "groups"), scratch, percent)
+    settle(scratch.keep(few.union(many).distinct(), "last"))
     return _all(links)
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _pairs_by_difference(docs: DataFrame, classes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """All pairs (a, b) with different roots within a ``head`` that may be linked.
+
+    ``groups`` (head, cid, root, settled) names the members; each was compared with its head, and is
+    settled if it is in the head's component. The prefixes are those of exact set joins,
+    on differences from the head; see the module's text.
+    """
+    named = groups.select("cid").union(groups.select("head")).distinct()
+    wanted = scratch.keep(classes.select("cid", "first_id", "digest").join(named, "cid"), "wanted")
+    sets = scratch.keep(_full_sets(docs, wanted), "sets")
+    mine, base = sets.select("cid", F.col("full").alias("x")), sets.select(F.col("cid").alias("head"), F.col("full").alias("p"))
+    both = groups.join(mine, "cid").join(base, "head").withColumn("diff", F.array_union(F.array_except("x", "p"), F.array_except("p", "x")))
+    away = 2 * F.size("diff") / (F.size("x") + F.size("p") + F.size("diff"))  # the Jaccard distance: diff / union
+    span = 1 - percent / 100
+    column = ("head", "cid", "root", "settled", F.size("x").alias("n"), F.size("p").alias("n_head"))
+    cases = F.array(
+        F.when(away <= FAR + 1e-9, F.struct(F.lit(True).alias("near"), F.col("diff"))),
+        F.when(away >= FAR - span - 1e-9, F.struct(F.lit(False).alias("near"), F.col("x").alias("diff"))),
+    )
+    cases = both.select(*column, F.explode(F.filter(cases, F.isnotnull)).alias("case")).select(*column[:4], "n", "n_head", "case.*")
+    cases = scratch.keep(cases.withColumn("d", F.size("diff")).where("d > 0"), "differences")
+    tokens = cases.select("head", "near", "cid", "d", "n", "n_head", "root", "settled", F.explode("diff").alias("token"))
+    common = tokens.groupBy("head", "near", "token").agg(F.count("*").alias("df")).where("df >= 2")
+    own = Window.partitionBy("head", "near", "cid")
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))
+    ratio = (100 - percent) / (100 + percent)
+    # Least overlaps of the differences: with any partner, and with one that isn't linked to the head.
+    least = F.greatest(F.lit(1), F.col("d") - F.floor((F.col("n") + F.col("n") * 100 / percent) * ratio + 1e-9))
+    apart = F.when(F.col("near"), F.ceil((F.col("d") + ratio * (F.col("n_head") - F.col("n"))) / 2 - 1e-9)).otherwise(1)
+    ranked = tokens.join(common, ["head", "near", "token"]).withColumn("place", place)
+    ranked = ranked.withColumn("short", F.col("place") <= F.col("d") - F.greatest(least, apart) + 1)
+    ranked = scratch.keep(ranked.where(F.col("place") <= F.col("d") - least + 1).select("head", "near", "token", "cid", "root", "settled", "d", "n", "place", "short"), "ranked")
+    left, right = ranked.where("short").alias("l"), ranked.where("not near or not settled").alias("r")
+    within = F.floor((F.col("l.n") + F.col("r.n")) * ratio + 1e-9)
+    overlap = F.greatest(F.lit(1), F.ceil((F.col("l.d") + F.col("r.d") - within) / 2))
+    may = F.col("l.root") != F.col("r.root")
+    for key in ("head", "near", "token"):
+        may &= F.col(f"l.{key}") == F.col(f"r.{key}")
+    for side in "lr":
+        may &= F.col(f"{side}.place") <= F.col(f"{side}.d") - overlap + 1
+    found = left.join(right, may).select(F.col("l.cid").alias("cid"), F.col("r.cid").alias("other"))
+    return scratch.keep(_ordered(found, "cid", "other"), "many")
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
