@@ -46,6 +46,8 @@ WORDS = 5
 SKETCH = 32
 #: Least number of shared sketch values of a pair at the threshold; Binomial(32, 0.85) is below it five times in 10^7.
 SHARED = 16
+#: Words of 64 bits in the largest bitmap of wanted texts.
+BITMAP = 1 << 18
 #: Longest list whose open pairs are compared one by one; in longer ones the differences from the list's pivot are searched.
 FEW = 8
 #: Jaccard distance from the pivot up to which differences from it are used, and beyond it the sets themselves.
@@ -113,10 +115,23 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cids, sets = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(list(sets), pa.list_(pa.int64()))], names=["cid", "full"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), text_bytes("text").alias("text"))
+    texts = _likely(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("first_id"), "text"), wanted, "first_id")
+    texts = texts.select("first_id", text_bytes("text").alias("text"))
     return texts.join(wanted, "first_id").select("cid", "digest", "text").mapInArrow(run, "cid long, full array<long>")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be in ``wanted``: a bitmap spares the join's shuffle most of the other texts.
+
+    At most ``BITMAP`` words are broadcast, whatever the number of keys; a full bitmap lets all rows through.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP))
+    mask = F.expr("shiftleft(1L, cast(__bit % 64 as int))")
+    words = wanted.select(bit.alias("__bit")).groupBy(F.floor(F.col("__bit") / 64).alias("__word")).agg(F.bit_or(mask).alias("__mask"))
+    placed = rows.withColumn("__bit", bit).withColumn("__word", F.floor(F.col("__bit") / 64))
+    return placed.join(F.broadcast(words), "__word").where(F.col("__mask").bitwiseAND(mask) != 0).drop("__bit", "__word", "__mask")
+
+
 def _least_shared(size: Column, k: int, percent: int, shared: int) -> Column:
     """How many sketch values a linked pair shares at least, by the size of a sketch."""
     return F.when(size < k, F.floor((size * percent + 99) / 100)).otherwise(shared)
