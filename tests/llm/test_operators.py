@@ -1,6 +1,7 @@
 """Operators against brute force on a small fixture with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -95,6 +96,27 @@ def test_near_duplicates(docs, empty, percent):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies with 1 to 8 changed or dropped words: links on both sides of the threshold, in lists too long for pairs."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(90):
+        words = [f"v{k}" for k in range(150)]
+        for _ in range(rng.randint(1, 8)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = [f"e{rng.randrange(40)}"] if rng.random() < 0.5 else []
+        texts.append((i, " ".join(words)))
+    own = [(i, shingles(t)) for i, t in texts]
+    links = [(i, j) for i, a in own for j, b in own if i < j and 100 * len(a & b) >= 85 * len(a | b)]
+    root = {i: i for i, _ in own}
+    for _ in own:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 5 < len(set(root.values())) < 85
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, 4).collect()
     assert sorted(r["size"] for r in rows) == sorted(len((t or "").encode()) + 16 for _, t in TEXTS)
