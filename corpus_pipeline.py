@@ -9,6 +9,9 @@ from dialoom.llm import decontaminate, lines, minhash, packing, quality
 from dialoom.llm.queries import tokenizer_path
 from dialoom.llm.scratch import Scratch
 
+#: Percent of Jaccard similarity from which documents are near-duplicates here; ``op2_minhash`` has a contract of its own.
+SIMILAR = 80
+
 
 def _keep_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """The rows of ``docs`` whose id is among ``ids`` (doc_id), with all their columns."""
@@ -32,8 +35,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return _keep_ids(docs, minhash.near_duplicates(docs).where("kept"), "representatives")
+    """One document of each component of near-duplicates, with a Jaccard similarity of five-word shingles from 0.8 on."""
+    found = minhash.near_duplicates(docs, SIMILAR, shared=minhash.least_shared(SIMILAR))
+    return _keep_ids(docs, found.where("kept"), "representatives")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -257,6 +258,14 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def least_shared(percent: int, k: int = SKETCH, risk: float = 1e-6) -> int:
+    """The most sketch values that a pair at the threshold shares but for ``risk``: Binomial(k, percent / 100) is below it no oftener."""
+    p, below, s = percent / 100, 0.0, 0
+    while s < k and (below := below + comb(k, s) * p**s * (1 - p) ** (k - s)) <= risk:
+        s += 1
+    return s
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SKETCH, shared: int = SHARED) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``.
 
