@@ -8,6 +8,12 @@ common prefix reaches 2^k; the first member of an interval, by document id and
 place, is the original and all others are later copies. The blocks of later copies,
 over all lengths, join to the maximal repeated runs, which are deleted.
 
+A run counts by its characters, whatever its number of lines. So the shortest
+block with enough characters that starts, and the one that ends, at each repeated line is
+named too. Equal runs have equal such blocks at the same places, and in a run with
+enough characters they cover every line: the block that starts at its first line lies
+in the run, and so does the block that ends at any line behind that one.
+
 The number of rounds is the logarithm of the longest repeated run; each
 round holds only the positions that are still repeated.
 """
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, let
 
-#: A block of lines counts as a repeat from so many characters on.
+#: A run of lines counts as a repeat from so many characters on.
 MIN_CHARS = 40
 _KEY = ["doc", "digest"]
 
@@ -41,12 +47,39 @@ def _repeated(blocks: DataFrame) -> DataFrame:
     return blocks.join(groups, "name").select(*blocks.columns, (place > F.col("first")).alias("later"))
 
 
+def _shortest_blocks(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, digest, seq, reach, name): the shortest blocks of ``min_chars`` characters or more that start or end at each line.
+
+    Blocks of one line are left out, as are those with a line that isn't in ``lines``. As no
+    line is blank, a block has at most ``min_chars`` lines.
+    """
+    own = Window.partitionBy(*_KEY).orderBy("seq")
+    line, most, out = F.struct("seq", "name", "chars"), max(min_chars - 1, 0), []
+    for sign, frame in ((1, own.rowsBetween(0, most)), (-1, own.rowsBetween(-most, 0))):
+        near = F.collect_list(line).over(frame)
+
+        def add(so_far: Column, x: Column) -> Column:
+            ends = (so_far["chars"] >= min_chars) | (x["seq"] != so_far["next"])
+            more = F.struct((so_far["chars"] + x["chars"]).alias("chars"), (so_far["next"] + sign).alias("next"))  # noqa: B023  used at once
+            return F.when(ends, so_far).otherwise(more)
+
+        placed = lines.select(*_KEY, "seq", "chars", (near if sign > 0 else F.reverse(near)).alias("near"))
+        start = F.struct(F.lit(0).cast("long").alias("chars"), F.col("seq").alias("next"))
+        placed = placed.where(F.col("chars") < min_chars).withColumn("sum", F.aggregate("near", start, add)).where(F.col("sum.chars") >= min_chars)
+        n = F.abs(F.col("sum.next") - F.col("seq"))
+        names = F.transform(F.slice("near", 1, n), lambda x: x["name"])
+        first = F.col("seq") if sign > 0 else F.col("seq") - n + 1
+        out.append(placed.select(*_KEY, first.alias("seq"), (first + n).alias("reach"), F.xxhash64(F.lit(sign), n, names).alias("name")))
+    return out[0].union(out[1])
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, digest, lines): the places of the lines that belong to later copies of repeated runs."""
     base = scratch.keep(_line_ids(docs), "line-ids")
     flat = base.select(*_KEY, F.posexplode("lines").alias("seq", "x")).select(*_KEY, "seq", "x.line", "x.name", F.col("x.chars").cast("long").alias("chars"))
     first = scratch.keep(_repeated(flat).dropDuplicates([*_KEY, "seq"]), "level-0")
-    level, step, reaches = first.drop("line"), 1, []
+    shortest = scratch.keep(_shortest_blocks(first, min_chars), "shortest")
+    level, step, reaches = first.drop("line"), 1, [_repeated(shortest).where("later").select(*_KEY, "seq", "reach")]
     while not level.isEmpty():
         reaches.append(level.where(F.col("later") & (F.col("chars") >= min_chars)).select(*_KEY, "seq", (F.col("seq") + step).alias("reach")))
         ahead = level.select(*_KEY, (F.col("seq") - step).alias("seq"), F.col("name").alias("name2"), F.col("chars").alias("chars2"))
@@ -84,8 +117,8 @@ def _kept_text() -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows and columns of ``docs``, the texts without later copies of repeated line runs.
 
-    A line goes if it lies in a block of 2^k lines, with ``min_chars``
-    characters or more, whose lines occur in the same order earlier: in a document of
+    A line goes if it lies in a run of lines, with ``min_chars``
+    characters or more, that occurs in the same order earlier: in a document of
     smaller id, or before in the same document. Lines compare
     exactly; blank lines are passed over and stay. Null texts stay null, empty
     ones empty; rows without an id come last; rows equal in id and text are one

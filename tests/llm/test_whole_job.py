@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from dialoom.llm import minhash
+from dialoom.llm import lines, minhash
 
 
 def shingles(text):
@@ -45,3 +45,28 @@ def test_near_duplicates_at_08_of_a_large_group(spark):
     assert 5 < len(set(root.values())) < 85
     got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 80, shared=minhash.least_shared(80)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == root
+
+
+def test_lines_of_short_runs(spark):
+    """Runs of 40 characters or more, in any number of lines, against all pairs of runs."""
+    rng = random.Random(3)
+    three = [c * 15 for c in "abc"]
+    seven = [f"item {c} 11" for c in "abcdefg"]
+    tail = ["L" * 100, "short", "brief"]
+    texts = [["x0", *three, "y0"], ["x1", *three, "y1"], ["x2", *seven], [*seven, "y3"], [*tail, "x4"], ["x5", *tail], [*three[1:], "x6", *three, *three]]
+    for _ in range(12):
+        texts.append([rng.choice(["aa", "b" * 9, "c" * 14, "d" * 20, "e" * 39, "f" * 45, ""]) for _ in range(rng.randint(1, 14))])
+    kept = [[(i, t) for i, t in enumerate(x) if t] for x in texts]
+    seen, expected = set(), {}
+    for d, x in enumerate(kept):
+        gone = set()
+        runs = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(len(t) for _, t in x[i:j]) >= 40]
+        for i, j in sorted(runs):
+            run = tuple(t for _, t in x[i:j])
+            if run in seen:
+                gone |= {k for k, _ in x[i:j]}
+            seen.add(run)
+        expected[d] = sorted(gone)
+    assert expected[1] == [1, 2, 3] and expected[3] == list(range(7)) and expected[5] == [1, 2, 3]
+    docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: list(r["removed"]) for r in lines.line_report(docs).collect()} == expected
