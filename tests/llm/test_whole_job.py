@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from dialoom.llm import lines, minhash
+from dialoom.llm import lines, minhash, passages
 
 
 def shingles(text):
@@ -70,3 +70,13 @@ def test_lines_of_short_runs(spark):
     assert expected[1] == [1, 2, 3] and expected[3] == list(range(7)) and expected[5] == [1, 2, 3]
     docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: list(r["removed"]) for r in lines.line_report(docs).collect()} == expected
+
+
+def test_passages_go_on_over_inserted_and_deleted_words():
+    words = [f"w{i}" for i in range(70)]
+    hashes = lambda w: minhash.shingle_hashes(" ".join(w).encode())
+    for other in ([*words[:35], "new", *words[35:]], [*words[:35], *words[36:]]):
+        one, two = hashes(["a", "b", *words, "c"]), hashes([*other, "d"])
+        found = passages.passages_between(one, two, [2])
+        assert [(a, b, m + 4, n + 4) for a, b, m, n, _ in found] == [(2, 0, 70, len(other))]
+        assert found[0][4] == len(set(hashes(words)) & set(hashes(other))) / len(set(hashes(words)) | set(hashes(other)))
