@@ -80,3 +80,31 @@ def test_passages_go_on_over_inserted_and_deleted_words():
         found = passages.passages_between(one, two, [2])
         assert [(a, b, m + 4, n + 4) for a, b, m, n, _ in found] == [(2, 0, 70, len(other))]
         assert found[0][4] == len(set(hashes(words)) & set(hashes(other))) / len(set(hashes(words)) | set(hashes(other)))
+
+
+def test_passages_with_their_middle_word_changed_share_a_seed():
+    """A 50-word passage with one changed word, J = 0.80 of aligned shingles, in 2000 trials."""
+    rng = random.Random(1)
+    hashes = lambda w: minhash.shingle_hashes(" ".join(w).encode())
+    for _ in range(2000):
+        run, pad = [f"p{rng.random()}" for _ in range(50)], lambda: [f"z{rng.random()}" for _ in range(rng.randint(0, 9))]  # noqa: B023
+        changed = [*run[:25], "other", *run[26:]]
+        a, b = hashes(pad() + run + pad()), hashes(pad() + changed + pad())
+        assert set(passages.seeds(a)[1].tolist()) & set(passages.seeds(b)[1].tolist())
+
+
+def test_passages_beside_a_head_that_does_not_hold_them(spark):
+    """Repeats among the members of a key that its head, the smallest id, doesn't share or is not alone in."""
+    rng, rows, wanted = random.Random(2), [], []
+    w = lambda n: [f"t{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(30):
+        at = 10 * k
+        p1, after = w(60), w(30)
+        block = (p1 + after)[60 - 44 : 60 + 6]  # 50 words of B, 44 of them in P1
+        rows += [(at, w(20) + p1 + w(20)), (at + 1, w(20) + p1 + after + w(20)), (at + 2, w(20) + block + w(20))]
+        middle = w(25)  # also held by a dissimilar document of smaller id
+        rows += [(at + 6, w(20) + middle + w(40)), (at + 7, middle + ["a"] + (tail := w(24))), (at + 8, middle + ["b"] + tail)]
+        wanted += [(at + 1, at + 2), (at + 7, at + 8)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {(r["source_doc_id"], r["doc_id"]) for r in passages.near_passages(docs).collect()}
+    assert set(wanted) <= {(min(p), max(p)) for p in got}
