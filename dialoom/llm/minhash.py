@@ -41,14 +41,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, text_bytes
+from .scratch import Scratch, text_bytes, text_key, with_bit, without_rows
 
 WORDS = 5
 SKETCH = 32
 #: Least number of shared sketch values of a pair at the threshold; Binomial(32, 0.85) is below it five times in 10^7.
 SHARED = 16
-#: Words of 64 bits in the largest bitmap of wanted texts.
-BITMAP = 1 << 18
 #: Longest list whose open pairs are compared one by one; in longer ones the differences from the list's pivot are searched.
 FEW = 8
 #: Jaccard distance from the pivot up to which differences from it are used, and beyond it the sets themselves.
@@ -81,56 +79,44 @@ def _digest(values: np.ndarray) -> bytes:
     return blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def row_key() -> Column:
+    """What tells rows apart by id and text: a struct of longs."""
+    text = text_key("text")
+    return F.struct(F.xxhash64(F.col("doc_id").cast("long"), text["a"]).alias("a"), text["b"].alias("b"))
+
+
 def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
-    """doc_id, set size, a digest of the set (null: linked with nothing) and its k smallest values."""
+    """doc_id, the row's key, set size, a digest of the set (null: linked with nothing) and its k smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, digest, least = batch.column(0).to_pylist(), [], [], []
-            for doc_id, text in zip(ids, batch.column(1).to_pylist()):
+            for doc_id, text in zip(ids, batch.column(2).to_pylist()):
                 full = np.unique(shingle_hashes(text))
                 n.append(len(full))
                 digest.append(_digest(full) if len(full) and doc_id is not None else None)
                 least.append(full[:k])
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "sketch"],
+                    [pa.array(ids, pa.int64()), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
+                    names=["doc_id", "key", "n", "digest", "sketch"],
                 )
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_bytes("text").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, key struct<a: long, b: long>, n long, digest binary, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, full) of the classes in ``wanted`` (cid, first_id, digest), from a text of the class."""
+    """(cid, full) of the classes in ``wanted`` (cid, key), from a text of the class; a bitmap spares most other texts the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for cid, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                full = np.unique(shingle_hashes(text))
-                if _digest(full) == digest:  # an id that two texts carry
-                    out.append((cid, full))
-            if out:
-                cids, sets = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(list(sets), pa.list_(pa.int64()))], names=["cid", "full"])
+            sets = [np.unique(shingle_hashes(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "full"])
 
-    texts = _likely(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("first_id"), "text"), wanted, "first_id")
-    texts = texts.select("first_id", text_bytes("text").alias("text"))
-    return texts.join(wanted, "first_id").select("cid", "digest", "text").mapInArrow(run, "cid long, full array<long>")
-
-
-def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be in ``wanted``: a bitmap spares the join's shuffle most of the other texts.
-
-    At most ``BITMAP`` words are broadcast, whatever the number of keys; a full bitmap lets all rows through.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP))
-    mask = F.expr("shiftleft(1L, cast(__bit % 64 as int))")
-    words = wanted.select(bit.alias("__bit")).groupBy(F.floor(F.col("__bit") / 64).alias("__word")).agg(F.bit_or(mask).alias("__mask"))
-    placed = rows.withColumn("__bit", bit).withColumn("__word", F.floor(F.col("__bit") / 64))
-    return placed.join(F.broadcast(words), "__word").where(F.col("__mask").bitwiseAND(mask) != 0).drop("__bit", "__word", "__mask")
+    texts = docs.where("doc_id is not null").select(row_key().alias("key"), text_bytes("text").alias("text"))
+    texts = with_bit(texts, wanted, "likely").where("likely").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return texts.join(wanted, "key").select("cid", "text").mapInArrow(run, "cid long, full array<long>")
 
 
 def _least_shared(size: Column, k: int, percent: int, shared: int) -> Column:
@@ -147,7 +133,7 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scr
     near = pairs.join(one, "a").join(two, "b").where("10 * least(na, nb) >= 7 * greatest(na, nb)")
     near = scratch.keep(near.where(shared * 100 >= 40 * F.size(union)).select("a", "b", "na", "nb"), "near")
     named = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
-    wanted = scratch.keep(classes.select("cid", "first_id", "digest").join(named, "cid"), "wanted")
+    wanted = scratch.keep(classes.select("cid", "key").join(named, "cid"), "wanted")
     sets = scratch.keep(_full_sets(docs, wanted), "sets")
     left, right = sets.select(F.col("cid").alias("a"), F.col("full").alias("fa")), sets.select(F.col("cid").alias("b"), F.col("full").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb")).cast("long")
@@ -215,7 +201,7 @@ def _pairs_by_difference(docs: DataFrame, classes: DataFrame, groups: DataFrame,
     on differences from the head; see the module's text.
     """
     named = groups.select("cid").union(groups.select("head")).distinct()
-    wanted = scratch.keep(classes.select("cid", "first_id", "digest").join(named, "cid"), "wanted")
+    wanted = scratch.keep(classes.select("cid", "key").join(named, "cid"), "wanted")
     sets = scratch.keep(_full_sets(docs, wanted), "sets")
     mine, base = sets.select("cid", F.col("full").alias("x")), sets.select(F.col("cid").alias("head"), F.col("full").alias("p"))
     both = groups.join(mine, "cid").join(base, "head").withColumn("diff", F.array_union(F.array_except("x", "p"), F.array_except("p", "x")))
@@ -266,6 +252,24 @@ def least_shared(percent: int, k: int = SKETCH, risk: float = 1e-6) -> int:
     return s
 
 
+def _grouped(docs: DataFrame, percent: int, k: int, shared: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and for each set's digest its component's smallest id and the key of that id's row."""
+    base = scratch.keep(sketches(docs, k), "sketches")
+    first = F.min(F.struct("doc_id", "key")).alias("first")
+    grouped = base.where("digest is not null").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    grouped = grouped.select(F.monotonically_increasing_id().alias("cid"), "digest", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("key"), "n", "sketch")
+    classes = scratch.keep(grouped, "classes")
+    links = near_links(docs, classes, scratch, k, percent, shared)
+    roots = scratch.keep(connected_components(links, scratch), "roots")
+    linked = roots.join(classes.select(F.col("cid").alias("node"), "digest", F.struct("first_id", "key").alias("first")), "node")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
+    linked = scratch.keep(linked.join(smallest, "root").select("digest", "least"), "linked")
+    named = classes.select("digest", F.struct("first_id", "key").alias("first")).join(linked, "digest", "left")
+    named = scratch.keep(named.select("digest", F.coalesce("least", "first").alias("least")).select("digest", "least.*"), "named")
+    scratch.only(base, named)
+    return base, named
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SKETCH, shared: int = SHARED) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``.
 
@@ -275,18 +279,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SKETCH, shared:
     component is their own id); all of them are kept. Repeated rows and equal
     sets are one class. A text of any length is one set.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    base = scratch.keep(sketches(docs, k), "sketches")
-    grouped = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch.keep(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-    links = near_links(docs, classes, scratch, k, percent, shared)
-    roots = scratch.keep(connected_components(links, scratch), "roots")
-    ids = classes.select(F.col("cid").alias("node"), "digest", "first_id")
-    linked = roots.join(ids, "node")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
-    linked = scratch.keep(linked.join(smallest, "root").select("digest", "component"), "linked")
-    named = classes.select("digest", "first_id").join(linked, "digest", "left").select("digest", F.coalesce("component", "first_id").alias("component"))
-    own = F.coalesce("component", "doc_id")
-    return base.join(named, "digest", "left").select(
+    base, named = _grouped(docs, percent, k, shared, Scratch(docs.sparkSession, "minhash"))
+    own = F.coalesce("first_id", "doc_id")
+    return base.select("doc_id", "n", "digest").join(named.select("digest", "first_id"), "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
     )
+
+
+def dedup(docs: DataFrame, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """One row of each component of near-duplicates, with all columns of ``docs``: that of smallest id.
+
+    Rows are told apart by id and text, so that a repeated id loses only those of its texts that others hold. Of rows
+    equal in both one stays. Rows without an id take part; they rank behind all others and are
+    told apart by their texts (ids are taken to be below 2^62). Null, empty and blank texts have no shingles and all stay. Further
+    columns, whatever their names, are passed through; an empty table stays so.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    unnamed = F.lit(2**62) + F.pmod(F.xxhash64(text_bytes("text")), F.lit(2**61))
+    named_rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc_id"), "text")
+    base, named = _grouped(named_rows, percent, k, least_shared(percent, k), scratch)
+    rows = base.where("digest is not null").select("digest", "key").join(named.select("digest", F.col("key").alias("first")), "digest")
+    verdicts = rows.groupBy("key").agg(F.first(F.col("key") != F.col("first")).alias("bad"), (F.count("*") > 1).alias("single"))
+    verdicts = scratch.keep(verdicts, "verdicts")
+    text = text_key("text")
+    key = F.struct(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), unnamed), text["a"]).alias("a"), text["b"].alias("b"))
+    return without_rows(docs, key, verdicts, scratch)

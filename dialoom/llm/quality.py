@@ -101,7 +101,7 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 1200, rate: float = 0.02, de
     weights = np.concatenate([model.linear[:, None], model.factors], axis=1)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     step, bias_first, bias_second = 0, 0.0, 0.0
-    epochs = -(-steps * batch // len(rows))
+    epochs = -(-steps // -(-len(rows) // batch))
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         pace = rate * (1 - epoch / epochs)
@@ -140,9 +140,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     size = docs.select("doc_id", text_bytes("text").alias("text"))
     found = size.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # the sample's bound is the broadcast's
-    rows = found.select("doc_id", "text", "quality").rdd.toLocalIterator() if sample_rows > 50_000 else found.select("doc_id", "text", "quality").collect()
-    unique = {r["doc_id"]: (bytes(r["text"]), int(r["quality"])) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["text"])))}
-    return list(unique.values())
+    once = found.groupBy("doc_id").agg(F.max(F.struct("text", "quality")).alias("x")).orderBy("doc_id")  # at most sample_rows rows
+    return [(bytes(r["x"]["text"]), int(r["x"]["quality"])) for r in once.collect()]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -158,21 +157,43 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     return score_with(docs, model)
 
 
+def _scores(model: Model, texts: list[bytes]) -> list[float]:
+    scores: list[float] = []
+    for at in range(0, len(texts), 64):
+        made = [features(t) for t in texts[at : at + 64]]
+        index, value = (np.concatenate(x) for x in zip(*made))
+        start = np.concatenate([[0], np.cumsum([len(i) for i, _ in made])[:-1]])
+        scores += _sigmoid(model.margin(index, value, start).astype(np.float64)).tolist()
+    return scores
+
+
 def score_with(docs: DataFrame, model) -> DataFrame:
     """Scores under a broadcast model."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            scores: list[float] = []
-            for at in range(0, len(texts), 64):
-                made = [features(t) for t in texts[at : at + 64]]
-                index, value = (np.concatenate(x) for x in zip(*made))
-                start = np.concatenate([[0], np.cumsum([len(i) for i, _ in made])[:-1]])
-                scores += _sigmoid(model.value.margin(index, value, start).astype(np.float64)).tolist()
+            scores = _scores(model.value, texts)
             held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0 for i in ids]
             predicted = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), predicted], names=["doc_id", "held_out", "score", "predicted"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
     return chosen.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts to be good, with all their columns; decided in place, without a shuffle.
+
+    Each row is judged by its own text, whatever its id; null texts are empty ones and are scored as such; repeated
+    rows go or stay together; columns of any name are passed through; an empty table stays so; without labels all rows stay.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, sample_rows)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(model.value, batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist())
+            yield batch.filter(pa.array([s >= THRESHOLD for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -219,10 +219,10 @@ def test_warc_audit(spark, empty):
     assert warc.fixity_report(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_decontamination(spark, docs, empty, monkeypatch, inline):
-    if not inline:
-        monkeypatch.setattr(decontaminate, "INLINE", -1)
+@pytest.mark.parametrize("full_bitmap", [False, True])
+def test_decontamination(spark, docs, empty, monkeypatch, full_bitmap):
+    if full_bitmap:
+        monkeypatch.setattr(decontaminate, "BITMAP", 1)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = defaultdict(set)
