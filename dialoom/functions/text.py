@@ -55,7 +55,7 @@ def strip_extension(name: Column) -> Column:
 
 def parse_score(x: Column) -> Column:
     """A number's text: a whole number if it is one, else a decimal one, else null."""
-    whole = F.coalesce(F.expr("cast(null as string)"), x.try_cast("decimal(38,0)").cast("string"))
+    whole = x.try_cast("decimal(38,0)").cast("string")
     return F.when(F.rlike(x, F.lit(INTEGER)), whole).when(F.rlike(x, F.lit(DECIMAL)), x.try_cast("double").cast("string"))
 
 
@@ -70,7 +70,7 @@ def extract_answer(x: Column) -> Column:
 
 
 def extract_feedback(x: Column) -> Column:
-    """Feedback with its score in words where both are there; see the decision table in the tests."""
+    """Feedback with its score in words where both are there; without feedback the whole text; null and empty are ''."""
     told = strip(after_marker(x, FEEDBACK))
     score = score_of(x)
     with_score = F.concat(F.lit("A score of "), score, F.lit(" is given to the answer. "), told)

@@ -48,21 +48,40 @@ def dropped_rounds(rounds: DataFrame) -> DataFrame:
     return numbered_rounds(rounds).where((F.col("round") > 0) & ~truthy(F.col("before"))).select("conv_id", "round", "turn")
 
 
-def chat_rows(exchanges: DataFrame, order: str, system: str) -> DataFrame:
-    """One row per dialogue: system, conversation as an array in order."""
+def dialogue_reject(turns: Column, question: Column) -> Column:
+    """Why a dialogue is left out: it has no turns, which is tested first, or no question; null if it stays."""
+    return F.when(F.coalesce(F.size(turns), F.lit(0)) <= 0, "no conversations").when(~truthy(question), "no question")
+
+
+def chat_rows(exchanges: DataFrame, order: str, system: str, images: DataFrame | None = None) -> DataFrame:
+    """One row per dialogue: system, conversation as an array in order, and ``images``, a list of its one path.
+
+    ``images`` has (conv_id, image); dialogues without one, or all if it isn't given, have an empty list.
+    """
     turns = F.array_sort(F.collect_list(F.struct(order, "human", "assistant")))
     own = exchanges.groupBy("conv_id").agg(turns.alias("c"))
-    return own.select("conv_id", F.lit(system).alias("system"), F.transform("c", lambda s: F.struct(s["human"].alias("human"), s["assistant"].alias("assistant"))).alias("conversation"))
+    own = with_images(own, images)
+    return own.select("conv_id", F.lit(system).alias("system"), F.transform("c", lambda s: F.struct(s["human"].alias("human"), s["assistant"].alias("assistant"))).alias("conversation"), "images")
+
+
+def with_images(rows: DataFrame, images: DataFrame | None) -> DataFrame:
+    """The rows with the list ``images`` of their dialogue's path."""
+    none = F.array().cast("array<string>")
+    if images is None:
+        return rows.withColumn("images", none)
+    paths = images.where("image is not null").groupBy("conv_id").agg(F.min("image").alias("image"))
+    return rows.join(paths, "conv_id", "left").withColumn("images", F.when(F.col("image").isNull(), none).otherwise(F.array("image"))).drop("image")
 
 
-def state_action(pairs: DataFrame, history: int = HISTORY) -> DataFrame:
+def state_action(pairs: DataFrame, history: int = HISTORY, images: DataFrame | None = None) -> DataFrame:
     """A row per answer: the state, that is up to ``history`` earlier rounds and the question, and the action.
 
-    ``messages`` holds one user and one assistant message; the user's starts with the image tag.
+    ``messages`` holds one user and one assistant message; the user's starts with the image tag. ``images`` is as in ``chat_rows``.
     """
     w = Window.partitionBy("conv_id").orderBy("turn")
     own = pairs.select("*", (F.row_number().over(w) - 1).alias("round"), F.collect_list(F.struct("turn", "human", "assistant")).over(w.rowsBetween(-history, -1)).alias("past"))
     told = F.transform("past", lambda s: F.concat(F.lit("User: "), s["human"], F.lit("\nAssistant: "), s["assistant"], F.lit("\n")))
     state = F.concat(F.lit("<image>\n"), F.array_join(told, ""), F.lit("User: "), F.col("human"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return own.select("conv_id", "round", F.size("past").alias("n_history"), F.array(message("user", state), message("assistant", F.col("assistant"))).alias("messages"))
+    messages = F.array(message("user", state), message("assistant", F.col("assistant"))).alias("messages")
+    return with_images(own.select("conv_id", "round", F.size("past").alias("n_history"), messages), images)

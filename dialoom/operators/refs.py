@@ -52,6 +52,11 @@ def extension_for(path: Column) -> Column:
     return F.when(path.endswith(".jpg") | path.endswith(".jpeg"), ".jpg").otherwise(".png")
 
 
+def extension_for_mode(mode: Column) -> Column:
+    """Format of a target by the image's colour mode: JPEG for RGB, else PNG."""
+    return F.when(mode == "RGB", ".jpg").otherwise(".png")
+
+
 def keyed_paths(paths: DataFrame) -> DataFrame:
     """Paths of three segments or more, with source and subfolder as join keys."""
     deep = F.size(F.split("path", "/")) >= 3

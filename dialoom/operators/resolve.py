@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .refs import EXTENSIONS, image_id, prefix_join
+from .order import with_position
+from .refs import EXTENSIONS, image_id, prefix_join, whole_id
 
 
 def last_index_per_id(rows: DataFrame) -> DataFrame:
@@ -14,11 +15,33 @@ def last_index_per_id(rows: DataFrame) -> DataFrame:
     return own.groupBy("dataset", "split", "id").agg(F.max("row_idx").alias("index"))
 
 
-def first_index_per_id(rows: DataFrame, split_order: Column) -> DataFrame:
-    """The first row of each id over all splits of a dataset in order."""
-    own = rows.where("raw_id is not null").select("dataset", "split", F.col("raw_id").cast("string").alias("id"), "row_idx", split_order.alias("o"))
-    first = own.groupBy("dataset", "id").agg(F.min(F.struct("o", "row_idx", "split")).alias("f"))
-    return first.select("dataset", "id", F.col("f.split").alias("split"), F.col("f.row_idx").alias("index"))
+def typed_path_ids(paths: DataFrame, catalog: DataFrame, number_sources: list[str]) -> DataFrame:
+    """Paths of entries with an id field, with their id and its type: text, or a whole number for ``number_sources`` where it is one."""
+    own = prefix_join(paths, catalog.where("id_field is not null"))
+    number = F.when(F.col("source").isin(*number_sources), whole_id(F.col("path")).cast("string"))
+    return own.select("*", F.when(number.isNull(), "text").otherwise("int").alias("kind"), F.coalesce(number, image_id(F.col("path"))).alias("id"))
+
+
+def typed_row_ids(rows: DataFrame, number_datasets: list[str]) -> DataFrame:
+    """Rows whose id isn't null, with ``id`` and ``kind``; texts of ``number_datasets`` are read as whole numbers, or left out if they aren't."""
+    text = F.col("raw_id").cast("string")
+    to_number = F.col("dataset").isin(*number_datasets) & (F.col("id_kind") == "text")
+    number = F.when(F.rlike(text, F.lit("^[+-]?[0-9]+$")), text.try_cast("bigint").cast("string"))
+    own = rows.where("raw_id is not null").select("*", F.when(to_number, number).otherwise(text).alias("id"), F.when(to_number, "int").otherwise(F.col("id_kind")).alias("kind"))
+    return own.where("id is not null")
+
+
+def first_match(paths: DataFrame, rows: DataFrame, split_order: Column) -> DataFrame:
+    """Each needed path with the first row, over a dataset's splits in order, that has an image and the path's id.
+
+    ``paths`` and ``rows`` are those of ``typed_path_ids`` and ``typed_row_ids``: ids of different types never match. All
+    paths of an id get the same row, as the id is used up by its first match.
+    """
+    key = ["dataset", "kind", "id"]
+    needed = paths.select(*key).distinct()
+    hits = rows.where("has_image").join(needed, key, "left_semi")
+    first = hits.groupBy(*key).agg(F.min(F.struct(split_order.alias("o"), "row_idx", "split")).alias("f"))
+    return paths.drop("split").join(first.select(*key, F.col("f.split").alias("split"), F.col("f.row_idx").alias("index")), key)
 
 
 def id_index_join(paths: DataFrame, catalog: DataFrame, rows: DataFrame, key: Column | None = None) -> DataFrame:
@@ -30,14 +53,14 @@ def id_index_join(paths: DataFrame, catalog: DataFrame, rows: DataFrame, key: Co
 def positional_join(paths: DataFrame, catalog: DataFrame, rows: DataFrame) -> DataFrame:
     """Paths of entries without an id field: the k-th path in code-point order is row k."""
     own = prefix_join(paths, catalog.where("id_field is null"))
-    rank = F.row_number().over(Window.partitionBy("source", "subfolder").orderBy("path")) - 1
+    own = with_position(own, "path", "index", ["source", "subfolder"])
     sizes = rows.groupBy("dataset", "split").agg(F.count("*").alias("n"))
-    return own.withColumn("index", rank).join(sizes, ["dataset", "split"]).where(F.col("index") < F.col("n")).drop("n")
+    return own.join(sizes, ["dataset", "split"]).where(F.col("index") < F.col("n")).drop("n")
 
 
 def rank_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     own = prefix_join(paths, catalog)
-    return own.select("source", "subfolder", "path", (F.row_number().over(Window.partitionBy("source", "subfolder").orderBy("path")) - 1).alias("rank"))
+    return with_position(own, "path", "rank", ["source", "subfolder"]).select("source", "subfolder", "path", "rank")
 
 
 def with_extensions(ids: DataFrame) -> DataFrame:

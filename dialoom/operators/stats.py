@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import with_position
+from .order import head
 
 # Outcomes of a row in the order in which they are tested, and the cap of an error list.
 OUTCOMES = ("no_image", "filtered", "unresolved", "no_conversations", "processed")
@@ -36,6 +36,31 @@ def run_stats_rollup(rows: DataFrame) -> DataFrame:
     return own.withColumn("split", F.coalesce("split", F.lit("total")))
 
 
+def stats_by_split(rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(split, stats): the counters and the first errors of each split as one struct."""
+    own = run_stats(rows)
+    names = [c for c in own.columns if c != "split"]
+    if errors is None:
+        return own.select("split", F.struct(*names).alias("stats"))
+    listed = first_errors(errors).groupBy("split").agg(F.array_sort(F.collect_list(F.struct("idx", "message"))).alias("e"))  # ERRORS at most
+    messages = F.coalesce(F.transform("e", lambda e: e["message"]), F.array().cast("array<string>"))
+    return own.join(listed, "split", "left").select("split", F.struct(*names, messages.alias("errors")).alias("stats"))
+
+
+def summary_lines(stats: DataFrame) -> DataFrame:
+    """(split, line): what a run reports of each split to its reader."""
+    mean = F.format_string("%.2f", safe_mean(F.col("total_rounds"), F.col("samples_processed")))
+    return stats.select("split", F.concat_ws(
+        ", ", F.concat(F.col("split"), F.lit(": "), F.col("samples_processed"), F.lit(" processed")), F.concat("samples_skipped", F.lit(" skipped")),
+        F.concat("samples_no_image", F.lit(" without image")), F.concat(mean, F.lit(" rounds on average")),
+    ).alias("line"))
+
+
+def effective_batch(batch: Column, accumulation: Column, ranks: Column) -> Column:
+    """Rows that one optimizer step sees."""
+    return batch * accumulation * ranks
+
+
 def safe_mean(total: Column, n: Column) -> Column:
     return total / F.greatest(F.lit(1), n)
 
@@ -47,4 +72,4 @@ def coverage_percent(mapped: Column, total: Column) -> Column:
 
 def first_errors(errors: DataFrame, cap: int = ERRORS) -> DataFrame:
     """The first ``cap`` errors of each split in row order; errors: (split, idx, message)."""
-    return with_position(errors, "idx", "nth", ["split"]).where(F.col("nth") < cap)
+    return head(errors, "idx", cap, ["split"])

@@ -25,9 +25,10 @@ _VIEWS = {
   when 5 then null when 6 then '' else source||'/'||lang||'/'||cast(doc_id as string)||'.jpg' end as image
  from documents""",
     "catalog": """select * from (values ('alpha','train','ds_alpha','train','id'),('alpha','val','ds_alpha','val','id'),('beta','images','ds_beta','test','pid'),('gamma','pics','ds_gamma','train',cast(null as string))) as t(source,subfolder,dataset,split,id_field)""",
-    "source_rows": """select 'ds_alpha' as dataset, case when p_partkey%3=0 then 'val' else 'train' end as split, p_partkey as row_idx, cast(p_partkey%50 as bigint) as raw_id from part
- union all select 'ds_beta','test',p_partkey,case when p_partkey%11=0 then null else p_partkey%40 end from part
- union all select 'ds_gamma','train',p_partkey,null from part where p_partkey<60""",
+    "source_rows": """select 'ds_alpha' as dataset, case when p_partkey%3=0 then 'val' else 'train' end as split, p_partkey as row_idx, cast(p_partkey%50 as bigint) as raw_id,
+ case when p_partkey%4=0 then 'text' else 'int' end as id_kind, p_partkey%13<>0 as has_image from part
+ union all select 'ds_beta','test',p_partkey,case when p_partkey%11=0 then null else p_partkey%40 end, case when p_partkey%2=0 then 'text' else 'int' end, p_partkey%13<>0 from part
+ union all select 'ds_gamma','train',p_partkey,null,'text',true from part where p_partkey<60""",
 }
 _TABLE = {"refl_turns": "conversations", "image_refs": "documents", "source_rows": "part"}
 
@@ -43,6 +44,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """The SQL with the derived views that it names, for DuckDB."""
+    sql = sql.strip()
     used = [k for k in _VIEWS if k in sql]
     ctes = ", ".join(f"{k} as ({_VIEWS[k]})" for k in used).replace(" as string)", " as varchar)")
     if not used:

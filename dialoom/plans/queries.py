@@ -91,30 +91,16 @@ def _questions(conversations: DataFrame) -> DataFrame:
     return first.select("conv_id", T.strip(F.col("q")).alias("question"))
 
 
-# --- scans -------------------------------------------------------------------------------
-
-_add("scan_split", "select event_type, count(*) as n, min(event_id) as first_id from events group by 1", "events")(
-    lambda e: e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
-)
-
+IMAGE_SQL = "case when conv_id%7<>3 then 'images/train/train_'||printf('%06d',conv_id)||'.jpg' else '' end"
 
-def _json_round_trip(fmt: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import uuid
 
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{root.rstrip('/')}/json-{uuid.uuid4().hex[:12]}.{fmt}"
-        rows = view(spark, sf_dir, "conversations")
-        rows.write.json(path)
-        return readers.read_dialogues(spark, path, "conv_id long, turn long, role string, text string", "jsonl").select("conv_id", "turn", "role", F.length("text").alias("n"))
+def conversation_images(conversations: DataFrame) -> DataFrame:
+    """(conv_id, image): a placeholder path for all dialogues but one in seven."""
+    path = F.concat(F.lit("images/train/train_"), T.zero_pad(F.col("conv_id"), 6), F.lit(".jpg"))
+    return conversations.where("conv_id % 7 <> 3").select("conv_id", path.alias("image")).distinct()
 
-    return run
-
-
-for _fmt, _name in (("jsonl", "scan_jsonl"), ("json", "scan_json_document")):
-    QUERIES[_name] = _json_round_trip(_fmt)
-    SQL[_name] = "select conv_id, turn, role, length(text) as n from conversations"
 
+# --- scans -------------------------------------------------------------------------------
 
 def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = [lambda n=n: view(spark, sf_dir, n) for n in ("no_such_table", "region")]
@@ -149,9 +135,6 @@ _add("classify_source", f"select class, count(distinct image) as n from (select
 _add("count_by_class", f"select {CLASS_SQL} as class, count(distinct image) as n from image_refs where {IMG} group by 1", "image_refs")(
     lambda r: _paths(r).groupBy(refs.source_class(F.col("path"), CLASSES).alias("class")).agg(F.count("*").alias("n"))
 )
-_add("filter_nonempty_dialogue", "select conv_id, count(*) as n_turns from conversations group by 1 having count(*)>0", "conversations")(
-    lambda c: c.groupBy("conv_id").agg(F.count("*").alias("n_turns")).where("n_turns > 0")
-)
 _add("filter_role_alias", "select conv_id, turn from conversations where role in ('human','user')", "conversations")(lambda c: c.where(F.col("role").isin(*pairing.HUMAN)).select("conv_id", "turn"))
 _scalar("add_system_prompt", lambda: {"system": F.lit(SYSTEM)}, f"'{SYSTEM}' as system", "conversations", "conv_id, turn")
 _IDX = "row_number() over (partition by split order by ref_id) - 1"
@@ -161,14 +144,10 @@ _add("sample_id", f"select ref_id, split||'_'||printf('%06d',{_IDX}) as sample_i
 _add("placeholder_path", f"select ref_id, 'images/'||split||'/'||split||'_'||printf('%06d',{_IDX})||'.jpg' as path from image_refs", "image_refs")(
     lambda r: order.with_position(r, "ref_id", "idx", ["split"]).select("ref_id", F.concat(F.lit("images/"), "split", F.lit("/"), "split", F.lit("_"), T.zero_pad(F.col("idx"), 6), F.lit(".jpg")).alias("path"))
 )
-_scalar("first_present_id", lambda: {"id": F.coalesce(*[F.nullif(c, F.lit("")) for c in (F.col("image"), F.col("split"))])}, "coalesce(nullif(image,''), nullif(split,'')) as id", "image_refs", "ref_id")
-_scalar("role_coalesce", lambda: {"r": F.coalesce(F.when(F.col("turn") % 2 == 0, F.col("role")), F.lit("other"))}, "coalesce(case when turn%2=0 then role end,'other') as r", "conversations", "conv_id, turn")
 _scalar("id_or_index", lambda: {"id": F.coalesce(F.col("raw_id").cast("string"), F.col("row_idx").cast("string"))}, "coalesce(cast(raw_id as varchar),cast(row_idx as varchar)) as id", "source_rows", "dataset, split, row_idx")
 _scalar("image_id_from_path", lambda: {"id": refs.image_id(F.col("image")), "number": refs.whole_id(F.col("image"))}, f"{ID_SQL.format('image')} as id, case when regexp_matches({ID_SQL.format('image')},'^[+-]?[0-9]+$') then try_cast({ID_SQL.format('image')} as bigint) end as number", "image_refs", "ref_id")
 _scalar("path_from_id", lambda: {"path": refs.path_from_id(F.col("ref_id"), F.col("split"))}, "'coco/'||split||'2017/'||printf('%012d',ref_id)||'.jpg' as path", "image_refs", "ref_id")
 _scalar("target_path", lambda: {"ext": refs.extension_for(F.col("image"))}, "case when image like '%.jpg' or image like '%.jpeg' then '.jpg' else '.png' end as ext", "image_refs", "ref_id")
-_scalar("reject_rows", lambda: {"number": F.col("props").try_cast("bigint"), "reject": F.when(F.col("props").try_cast("bigint").isNull(), F.concat(F.lit("not a number: "), F.col("props")))}, "try_cast(props as bigint) as number, case when try_cast(props as bigint) is null then 'not a number: '||props end as reject", "events", "event_id")
-
 # --- joins -------------------------------------------------------------------------------
 
 _add("needed_semi", "select doc_id, source from documents where doc_id in (select doc_id from labels)", "documents", "labels")(lambda d, n: d.select("doc_id", "source").join(n, "doc_id", "left_semi"))
@@ -201,14 +180,8 @@ _IDX_SQL = f"with {PJOIN_SQL}, o as (select *, {_NUM_ID.format(ID_SQL.format('pa
 _add("id_index_join", _IDX_SQL, "image_refs", "catalog", "source_rows")(
     lambda r, c, s: resolve.id_index_join(_paths(r), c, s, _number_or_text(F.col("path"))).select("path", "dataset", "split", "id_field", "id", "index")
 )
-_add("typed_id_join", _IDX_SQL.replace(_NUM_ID.format(ID_SQL.format("path")), ID_SQL.format("path")), "image_refs", "catalog", "source_rows")(
-    lambda r, c, s: resolve.id_index_join(_paths(r), c, s).select("path", "dataset", "split", "id_field", "id", "index")
-)
 _POS_SQL = f"with {PJOIN_SQL}, o as (select *, row_number() over (partition by source, subfolder order by path)-1 as index from pj where id_field is null), z as (select dataset, split, count(*) as n from source_rows group by 1,2) select o.path, o.dataset, o.split, o.index from o join z using(dataset, split) where index<n"
 _add("positional_join", _POS_SQL, "image_refs", "catalog", "source_rows")(lambda r, c, s: resolve.positional_join(_paths(r), c, s).select("path", "dataset", "split", "index"))
-_add("first_match_join", "select dataset, cast(raw_id as varchar) as id, arg_min(split, (case split when 'train' then 0 when 'val' then 1 else 2 end)*1000000000+row_idx) as split, arg_min(row_idx, (case split when 'train' then 0 when 'val' then 1 else 2 end)*1000000000+row_idx) as index from source_rows where raw_id is not null group by 1,2", "source_rows")(
-    lambda s: resolve.first_index_per_id(s, F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2))
-)
 _add("catalog_join", "select ref_id, dataset from image_refs r join (select source, min(dataset) as dataset from catalog group by 1) c on split_part(r.image,'/',1)=c.source", "image_refs", "catalog")(
     lambda r, c: r.select("ref_id", T.first_segment(F.col("image")).alias("source")).join(c.groupBy("source").agg(F.min("dataset").alias("dataset")), "source").select("ref_id", "dataset")
 )
@@ -244,9 +217,6 @@ def _outcomes(r: DataFrame) -> DataFrame:
 
 _add("run_stats", f"with {_OUT_CTE} select split, {_COUNTS} from o group by 1", "image_refs")(lambda r: stats.run_stats(_outcomes(r)))
 _add("run_stats_rollup", f"with {_OUT_CTE} select coalesce(split,'total') as split, {_COUNTS} from o group by rollup(split)", "image_refs")(lambda r: stats.run_stats_rollup(_outcomes(r)))
-_add("stats_json", f"with {_OUT_CTE}, s as (select split, {_COUNTS} from o group by 1) select split, '{{\"samples_processed\":'||samples_processed||',\"total_rounds\":'||total_rounds||'}}' as json from s", "image_refs")(
-    lambda r: sinks.mapping_document(stats.run_stats(_outcomes(r)).select("split", "samples_processed", "total_rounds"), "split")
-)
 _add("avg_rounds", f"with {_OUT_CTE}, s as (select split, {_COUNTS} from o group by 1) select split, round(total_rounds/greatest(1,samples_processed),2) as mean_rounds from s", "image_refs")(
     lambda r: stats.run_stats(_outcomes(r)).select("split", F.round(stats.safe_mean(F.col("total_rounds"), F.col("samples_processed")), 2).alias("mean_rounds"))
 )
@@ -282,17 +252,14 @@ _add("dropped_rounds", f"with {NUMBERED_SQL} select conv_id, round, turn from n
 _add("rounds_per_dialogue", f"{EXCHANGE_SQL} select conv_id, count(*) as rounds from x group by 1", "refl_turns", "conversations")(
     lambda t, c: pairing.chat_rows(pairing.reflective_exchanges(pairing.reflective_rounds(t), _questions(c)), "round", SYSTEM).select("conv_id", F.size("conversation").cast("bigint").alias("rounds"))
 )
-_add("chat_rows", f"with {PAIRS_SQL} select conv_id, '{SYSTEM}' as system, count(*) as n, string_agg(human||'|'||assistant, '~' order by turn) as conversation from x group by 1", "conversations")(
-    lambda c: pairing.chat_rows(pairing.pair_alternating(c), "turn", SYSTEM).select("conv_id", "system", F.size("conversation").cast("bigint").alias("n"), F.array_join(F.transform("conversation", lambda s: F.concat(s["human"], F.lit("|"), s["assistant"])), "~").alias("conversation"))
-)
-
-
 def _state_action(n: int) -> None:
     past = f"(select coalesce(string_agg('User: '||b.human||chr(10)||'Assistant: '||b.assistant||chr(10),'' order by b.round),'') from y b where b.conv_id=a.conv_id and b.round<a.round and b.round>=a.round-{n})"
-    sql = f"with {PAIRS_SQL}, y as (select *, row_number() over (partition by conv_id order by turn)-1 as round from x) select conv_id, round, least(round,{n}) as n_history, '<image>'||chr(10)||{past}||'User: '||human as state, assistant as action from y a"
+    sql = f"with {PAIRS_SQL}, y as (select *, row_number() over (partition by conv_id order by turn)-1 as round from x) select conv_id, round, least(round,{n}) as n_history, '<image>'||chr(10)||{past}||'User: '||human as state, assistant as action, {IMAGE_SQL} as images from y a"
     name = "state_action" if n == pairing.HISTORY else f"state_action_{n}"
     _add(name, sql, "conversations")(
-        lambda c: pairing.state_action(pairing.pair_alternating(c), n).select("conv_id", "round", "n_history", F.get("messages", F.lit(0))["content"].alias("state"), F.get("messages", F.lit(1))["content"].alias("action"))
+        lambda c: pairing.state_action(pairing.pair_alternating(c), n, conversation_images(c)).select(
+            "conv_id", "round", "n_history", F.get("messages", F.lit(0))["content"].alias("state"), F.get("messages", F.lit(1))["content"].alias("action"), F.array_join("images", ",").alias("images")
+        )
     )
 
 
@@ -326,7 +293,6 @@ _scalar("fn_affix", lambda: {"a": F.col("url").startswith("https"), "b": F.col("
 _scalar("fn_parse_score", lambda: {"score": T.score_of(F.col("value"))}, f"{_number(_SCORE_TEXT)} as score", "refl_turns", "conv_id, turn")
 _scalar("extract_answer", lambda: {"answer": T.extract_answer(F.col("value"))}, f"{ANSWER_SQL} as answer", "refl_turns", "conv_id, turn")
 _add("extract_feedback", f"select conv_id, turn, {FEEDBACK_SQL} as feedback from refl_turns where role='teacher'", "refl_turns")(lambda t: t.where("role = 'teacher'").select("conv_id", "turn", T.extract_feedback(F.col("value")).alias("feedback")))
-_scalar("extract_question", lambda: {"question": T.extract_question(F.when(F.col("turn") % 2 == 0, F.col("text")), F.col("role"))}, f"coalesce(trim(coalesce(case when turn%2=0 then text end, role),{WS}),'') as question", "conversations", "conv_id, turn")
 _scalar("fn_zero_pad", lambda: {"a": T.zero_pad(F.col("doc_id"), 6), "b": T.zero_pad(F.col("doc_id") * 10000000, 6)}, "printf('%06d',doc_id) as a, printf('%06d',doc_id*10000000) as b", "documents", "doc_id")
 _scalar("fn_array", lambda: {"n": F.size(F.split("url", "/")).cast("bigint"), "first": F.get(F.split("url", "/"), F.lit(0)), "some": F.array_join(F.slice(F.split("url", "/"), 1, 2), "|")}, "len(split(url,'/')) as n, split(url,'/')[1] as first, array_to_string(list_slice(split(url,'/'),1,2),'|') as some", "pages", "page_id")
 def _named() -> Column:
@@ -337,3 +303,5 @@ _scalar("fn_struct_get", lambda: {"r": _named()["r"], "t": F.coalesce(_named()["
 _scalar("fn_json_get", lambda: {"k": V.json_get(F.col("props"), "k"), "has": V.json_has(F.col("props"), "k"), "no": V.json_has(F.col("props"), "z")}, "json_extract_string(props,'$.k') as k, list_contains(json_keys(props),'k') as has, list_contains(json_keys(props),'z') as no", "events", "event_id")
 _scalar("fn_base64", lambda: {"b": V.decode_base64(F.base64(F.col("source").cast("binary"))).cast("string")}, "source as b", "documents", "doc_id")
 _scalar("fn_kind", lambda: {"k": V.payload_kind(F.col("image"))}, _KIND_SQL.format("image") + " as k", "image_refs", "ref_id")
+
+from . import preparation  # noqa: E402,F401  registers its own queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 
@@ -9,16 +10,59 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.operators.order import head
 
-def read_split(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A lazy scan of one split."""
+
+#: Splits that may be chosen.
+SPLITS = ("train", "test")
+
+
+def read_split(spark: SparkSession, root: str, split: str, config: str | None = None, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """A lazy scan of one named split, ``root``[/``config``]/``split``.``fmt``."""
     reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema else reader).load(path)
+    return (reader.schema(schema) if schema else reader).load("/".join(x for x in (root.rstrip("/"), config, f"{split}.{fmt}") if x))
+
+
+def choose_splits(names: Iterable[str]) -> list[str]:
+    """The names, all of which must be among ``SPLITS``; without any, all of those."""
+    chosen = list(names) or list(SPLITS)
+    if wrong := [n for n in chosen if n not in SPLITS]:
+        raise ValueError(f"no such split: {', '.join(wrong)}; choose from {', '.join(SPLITS)}")
+    return chosen
+
+
+def first_split(splits: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The first of the listed splits; the others are not read."""
+    return splits[0][1]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def local_else(spark: SparkSession, path: str, read: Callable[[str], DataFrame], other: str | None = None) -> DataFrame:
+    """``read`` of the path if it is there, else of ``other``; an error that names both if neither is."""
+    for at in (path, other):
+        if at and exists(spark, at):
+            return read(at)
+    raise FileNotFoundError(f"neither {path} nor {other} is there")
+
+
+def json_format(spark: SparkSession, path: str) -> str:
+    """jsonl by suffix, or if the first line that isn't blank is a whole object; else json."""
+    if path.endswith(".jsonl"):
+        return "jsonl"
+    line = spark.read.text(path).where(F.trim("value") != "").first()
+    try:
+        return "jsonl" if line and isinstance(json.loads(line["value"]), dict) else "json"
+    except ValueError:
+        return "json"
 
 
 def read_dialogues(spark: SparkSession, path: str, schema: str, fmt: str | None = None) -> DataFrame:
-    """A JSON document (a list of rows or one row) or, by suffix or ``fmt``, JSON lines; malformed rows fail."""
-    fmt = fmt or ("jsonl" if path.endswith(".jsonl") else "json")
+    """A JSON document (a list of rows or one row) or JSON lines, as ``fmt`` or ``json_format`` says; malformed rows fail."""
+    fmt = fmt or json_format(spark, path)
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", fmt == "json").json(path)
 
 
@@ -56,3 +100,9 @@ def parse_selector(selector: str) -> tuple[str, int]:
     """``id#N`` as the id and the row cap; 0 without one."""
     found = re.fullmatch(r"(.*?)(?:#(\d+))?", selector)
     return found[1], int(found[2] or 0)
+
+
+def read_selected(spark: SparkSession, root: str, selector: str, key: str) -> DataFrame:
+    """The rows of a dataset ``id#N`` below ``root``: the first N by ``key``, or all."""
+    name, n = parse_selector(selector)
+    return head(read_split(spark, root, name), key, n)

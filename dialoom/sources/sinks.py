@@ -24,6 +24,12 @@ def mapping_document(entries: DataFrame, key: str) -> DataFrame:
     return entries.select(key, json_line(*rest).alias("json"))
 
 
+def stats_document(stats: DataFrame, pretty: bool = False) -> DataFrame:
+    """One row ``json``: the structs of (split, stats) as a document keyed by split, in order of the names."""
+    entries = F.array_sort(F.collect_list(F.struct("split", "stats")))  # a row for each split
+    return stats.agg(F.to_json(F.map_from_entries(entries), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("json"))
+
+
 def skip_existing(targets: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame:
     return targets.join(existing.select(key).distinct(), key, "left_anti")
 
