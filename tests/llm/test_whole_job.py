@@ -108,3 +108,38 @@ def test_passages_beside_a_head_that_does_not_hold_them(spark):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
     got = {(r["source_doc_id"], r["doc_id"]) for r in passages.near_passages(docs).collect()}
     assert set(wanted) <= {(min(p), max(p)) for p in got}
+
+
+def test_chains_by_numbers_are_those_by_arrays(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(300):
+        base = [rng.randrange(40) for _ in range(120)]
+        other = list(base)
+        for _ in range(rng.randint(1, 12)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 2)] = [rng.randrange(40)] * rng.randint(0, 2)
+        one, two = (minhash.shingle_hashes(" ".join(map(str, x)).encode()) for x in (base, other))
+        by_numbers = passages.passages_between(one, two, [0])
+        monkeypatch.setattr(passages, "FEW", -1)
+        assert passages.passages_between(one, two, [0]) == by_numbers
+        monkeypatch.setattr(passages, "FEW", 24)
+
+
+def test_recall_of_changed_passages(spark):
+    """Passages of 50 to 120 words with a substituted, inserted or deleted word for each 50, in documents of their own words."""
+    rng, rows, wanted = random.Random(4), [], {"swap": [], "insert": [], "delete": []}
+    w = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(180):
+        kind = ("swap", "insert", "delete")[k % 3]
+        passage = w(rng.randint(51, 120))
+        changed = list(passage)
+        step = len(passage) // (len(passage) // 50 + 1)
+        for at in range(step * (len(passage) // 50), 0, -step):
+            changed[at : at + (kind != "insert")] = w(1) if kind != "delete" else []
+        rows += [(2 * k, " ".join(w(30) + passage + w(30))), (2 * k + 1, " ".join(w(10) + changed + w(50)))]
+        wanted[kind].append((2 * k, 2 * k + 1))
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r["source_doc_id"], r["doc_id"]) for r in got}
+    for kind, sought in wanted.items():
+        assert sum(p in pairs for p in sought) >= 0.9 * len(sought), kind
+    assert pairs <= {p for sought in wanted.values() for p in sought}
