@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, text_bytes, text_key, with_bit, without_rows
+from .scratch import Scratch, slices, text_bytes, text_key, with_bit, without_rows
 
 WORDS = 5
 SKETCH = 32
@@ -89,13 +89,13 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     """doc_id, the row's key, set size, a digest of the set (null: linked with nothing) and its k smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, n, digest, least = batch.column(0).to_pylist(), [], [], []
             for doc_id, text in zip(ids, batch.column(2).to_pylist()):
                 full = np.unique(shingle_hashes(text))
                 n.append(len(full))
                 digest.append(_digest(full) if len(full) and doc_id is not None else None)
-                least.append(full[:k])
+                least.append(full[:k].copy())
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
@@ -110,7 +110,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, full) of the classes in ``wanted`` (cid, key), from a text of the class; a bitmap spares most other texts the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(text)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "full"])
 

@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, text_bytes
+from .scratch import Scratch, slices, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
-#: Words kept per Python worker and generation; bounds the cache to some 100 MB.
-CACHED_WORDS = 300_000
+#: Words kept per Python worker and generation; bounds the cache to some 80 MB.
+CACHED_WORDS = 200_000
 
 _PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -171,7 +171,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, part = _word_ids(tokenizer_path), Counter(), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = memoryview(encode_text(text, words))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import id_crc_mod, text_bytes
+from .scratch import id_crc_mod, slices, text_bytes
 
 WORD_BITS = 14
 WORDS = 1 << WORD_BITS
@@ -171,7 +171,7 @@ def score_with(docs: DataFrame, model) -> DataFrame:
     """Scores under a broadcast model."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             scores = _scores(model.value, texts)
             held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0 for i in ids]
@@ -192,7 +192,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = _scores(model.value, batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist())
             yield batch.filter(pa.array([s >= THRESHOLD for s in scores], pa.bool_()))
 

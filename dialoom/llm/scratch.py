@@ -6,11 +6,13 @@ executor then costs a re-read, never a recomputation of earlier stages.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,20 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
     del _ROOTS[before:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that a worker never holds the Python objects of a whole batch.
+
+    Workers stay alive beside the stages that follow; at the end they give back what they have freed.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def text_bytes(text: Column | str) -> Column:
     """The text as UTF-8; a null text is empty."""
     col = F.col(text) if isinstance(text, str) else text
