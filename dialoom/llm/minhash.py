@@ -24,7 +24,9 @@ the pivot p, two members differ by ``|Dx ^ Dy|``, so that a link needs an overla
 ``(|Dx| + |Dy| - t) / 2`` with ``t`` the difference that their sizes allow. That is a set
 join again, on sets without what the whole group shares: a link's first common value, in order of
 frequency, lies in a prefix of both. Partners of a member outside p's component
-share about half of their own D with it, so their prefix is short. Members farther than ``FAR`` from p take
+share about half of their own D with it, so their prefix is short. Before these are joined, the members that
+have a value of D in their prefixes are compared with the one of them nearest to the pivot and with the nearest outside
+that one's component: near copies of one text join its component so, and only members of different ones are left. Members farther than ``FAR`` from p take
 the empty set for p; those about the border are in both groups. No link between different texts is lost.
 """
 
@@ -184,7 +186,10 @@ def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, pe
     one, two = (open_.where(F.col("m") <= FEW).select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "root"))) for x in "ab")
     few = one.join(two, "value").where("cid_a < cid_b and root_a <> root_b").select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     groups = open_.where(F.col("m") > FEW).select("head", "cid", "root", (F.col("root") == F.col("head_root")).alias("settled")).distinct()
-    many = _pairs_by_difference(docs, classes, scratch.keep(groups, "groups"), scratch, percent)
+    ranked = _ranked_differences(docs, classes, scratch.keep(groups, "groups"), scratch, percent)
+    settle(scratch.keep(_nearest_pairs(ranked), "nearest"))
+    ranked = _rooted(ranked, scratch.keep(connected_components(_all(links), scratch), "joined"), scratch)
+    many = scratch.keep(_ordered(_meeting(ranked.where("short"), ranked.where("not near or not settled"), percent), "cid", "other"), "many")
     settle(scratch.keep(few.union(many).distinct(), "last"))
     return _all(links)
 
@@ -193,8 +198,8 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _pairs_by_difference(docs: DataFrame, classes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """All pairs (a, b) with different roots within a ``head`` that may be linked.
+def _ranked_differences(docs: DataFrame, classes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The prefixes of the members' differences from their ``head``, as rows of one token.
 
     ``groups`` (head, cid, root, settled) names the members; each was compared with its head, and is
     settled if it is in the head's component. The prefixes are those of exact set joins,
@@ -224,8 +229,35 @@ def _pairs_by_difference(docs: DataFrame, classes: DataFrame, groups: DataFrame,
     apart = F.when(F.col("near"), F.ceil((F.col("d") + ratio * (F.col("n_head") - F.col("n"))) / 2 - 1e-9)).otherwise(1)
     ranked = tokens.join(common, ["head", "near", "token"]).withColumn("place", place)
     ranked = ranked.withColumn("short", F.col("place") <= F.col("d") - F.greatest(least, apart) + 1)
-    ranked = scratch.keep(ranked.where(F.col("place") <= F.col("d") - least + 1).select("head", "near", "token", "cid", "root", "settled", "d", "n", "place", "short"), "ranked")
-    left, right = ranked.where("short").alias("l"), ranked.where("not near or not settled").alias("r")
+    ranked = ranked.where(F.col("place") <= F.col("d") - least + 1)
+    return scratch.keep(ranked.select("head", "near", "token", "cid", "root", "settled", "d", "n", "place", "short"), "ranked")
+
+
+def _nearest_pairs(ranked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with those two of its token that are nearest to the head: the first, and the first outside that one's component."""
+    key = ["head", "near", "token"]
+    nearest = F.min(F.struct("d", "cid", "root"))
+    first = ranked.groupBy(*key).agg(nearest.alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key, "first")
+    others = ranked.join(first, key).where(F.col("root") != F.col("first.root"))
+    second = others.groupBy(*key).agg(nearest.alias("second"))
+    ones = others.select("cid", F.col("first.cid").alias("other"))
+    twos = others.join(second, key).where(F.col("root") != F.col("second.root")).select("cid", F.col("second.cid").alias("other"))
+    return _ordered(ones.union(twos), "cid", "other")
+
+
+def _rooted(ranked: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """``ranked`` with the components of now; members that have joined their head's component are settled."""
+    roots = joined.select(F.col("node").alias("cid"), F.col("root").alias("new"))
+    heads = joined.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+    now = ranked.join(roots, "cid", "left").join(heads, "head", "left").withColumn("root", F.coalesce("new", "cid"))
+    now = now.withColumn("settled", F.col("root") == F.coalesce("head_root", "head"))
+    return scratch.keep(now.select(*ranked.columns), "ranked")
+
+
+def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(cid, other) with different roots that meet at a token in the prefixes that their sizes ask for."""
+    ratio = (100 - percent) / (100 + percent)
+    left, right = left.alias("l"), right.alias("r")
     within = F.floor((F.col("l.n") + F.col("r.n")) * ratio + 1e-9)
     overlap = F.greatest(F.lit(1), F.ceil((F.col("l.d") + F.col("r.d") - within) / 2))
     may = F.col("l.root") != F.col("r.root")
@@ -233,8 +265,7 @@ def _pairs_by_difference(docs: DataFrame, classes: DataFrame, groups: DataFrame,
         may &= F.col(f"l.{key}") == F.col(f"r.{key}")
     for side in "lr":
         may &= F.col(f"{side}.place") <= F.col(f"{side}.d") - overlap + 1
-    found = left.join(right, may).select(F.col("l.cid").alias("cid"), F.col("r.cid").alias("other"))
-    return scratch.keep(_ordered(found, "cid", "other"), "many")
+    return left.join(right, may).select(F.col("l.cid").alias("cid"), F.col("r.cid").alias("other"))
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
