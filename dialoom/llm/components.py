@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = scratch.keep(links.where("a is not null and b is not null and a <> b").select(low.alias("a"), high.alias("b")).distinct(), "edges")
     state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("u <> v").distinct()
@@ -29,7 +29,26 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(large, edges)
         edges, before, state = after, state, _state(after)
         if before == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
+            break
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
+
+
+def extended_components(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``components`` (node, root) with further ``links`` (a, b), as ``connected_components`` of all links gives them.
+
+    Only the roots that the links join are searched again: links inside a component fall out first, so that the
+    rounds run over what is new. Nodes that no component has yet are their own root.
+    """
+
+    def rooted(pairs: DataFrame, end: str) -> DataFrame:
+        known = components.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        return pairs.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+
+    pairs = rooted(rooted(links.where("a is not null and b is not null"), "a"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    merged = scratch.keep(connected_components(pairs, scratch), "merged")
+    moved = components.join(merged.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+    new = merged.join(components, "node", "left_anti").select("node", "root")
+    return moved.select("node", F.coalesce("new", "root").alias("root")).union(new)
 
 
 def _state(edges: DataFrame) -> tuple:

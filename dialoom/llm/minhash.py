@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, extended_components
 from .scratch import Scratch, slices, text_bytes, text_key, with_bit, without_rows
 
 WORDS = 5
@@ -145,8 +145,8 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scr
     return found
 
 
-def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, shared: int) -> DataFrame:
-    """Links (a, b) between classes; see the module's text."""
+def near_components(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, shared: int) -> DataFrame:
+    """(node, root) of the classes that have links; see the module's text."""
     postings = classes.select("cid", F.size("sketch").cast("byte").alias("size"), F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df >= 2")
     by_class = Window.partitionBy("cid")
@@ -155,18 +155,20 @@ def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, pe
     lists = postings.join(common, "value").withColumn("place", place).withColumn("weight", F.sum("df").over(by_class))
     lists = scratch.keep(lists.where(F.col("place") <= prefix).select("value", "cid", "weight"), "lists")
     is_link = F.col("both") * 100 >= F.col("either") * percent
-    compared, links = [], []
+    compared = []
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+        """The components ``joined``, if any, with the links among ``pairs``."""
         for old in compared:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         found = _compare(docs, classes, pairs, scratch)
         compared.append(found)
-        links.append(found.where(is_link).select("a", "b"))
+        links = found.where(is_link).select("a", "b")
+        after = extended_components(joined, links, scratch) if joined is not None else connected_components(links, scratch)
+        return scratch.keep(after, "joined")
 
-    def mixed() -> DataFrame:
+    def mixed(joined: DataFrame) -> DataFrame:
         """The lists whose members are in several components, with the roots and the list's length."""
-        joined = scratch.keep(connected_components(_all(links), scratch), "joined")
         heads = joined.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
         rooted = stars.join(joined.withColumnRenamed("node", "cid"), "cid", "left").join(heads, "head", "left")
         rooted = rooted.select("value", "cid", "weight", F.coalesce("root", "cid").alias("root"), "head", F.coalesce("head_root", "head").alias("head_root"))
@@ -178,20 +180,19 @@ def near_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, pe
 
     heads = lists.groupBy("value").agg(pivot(), F.count("*").alias("m")).where("m >= 2").select("value", (-F.col("top.minus")).alias("head"))
     stars = scratch.keep(lists.join(heads, "value"), "stars")
-    settle(_ordered(stars, "cid", "head"))
-    others = mixed().where("root <> head_root and m > 2")
+    joined = settle(_ordered(stars, "cid", "head"))
+    others = mixed(joined).where("root <> head_root and m > 2")
     seconds = others.groupBy("value").agg(pivot()).select("value", (-F.col("top.minus")).alias("second"))
-    settle(_ordered(others.join(seconds, "value"), "cid", "second"))
-    open_ = mixed()
+    joined = settle(_ordered(others.join(seconds, "value"), "cid", "second"), joined)
+    open_ = mixed(joined)
     one, two = (open_.where(F.col("m") <= FEW).select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "root"))) for x in "ab")
     few = one.join(two, "value").where("cid_a < cid_b and root_a <> root_b").select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     groups = open_.where(F.col("m") > FEW).select("head", "cid", "root", (F.col("root") == F.col("head_root")).alias("settled")).distinct()
     ranked = _ranked_differences(docs, classes, scratch.keep(groups, "groups"), scratch, percent)
-    settle(scratch.keep(_nearest_pairs(ranked), "nearest"))
-    ranked = _rooted(ranked, scratch.keep(connected_components(_all(links), scratch), "joined"), scratch)
+    joined = settle(scratch.keep(_nearest_pairs(ranked), "nearest"), joined)
+    ranked = _rooted(ranked, joined, scratch)
     many = scratch.keep(_ordered(_meeting(ranked.where("short"), ranked.where("not near or not settled"), percent), "cid", "other"), "many")
-    settle(scratch.keep(few.union(many).distinct(), "last"))
-    return _all(links)
+    return settle(scratch.keep(few.union(many).distinct(), "last"), joined)
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -268,13 +269,6 @@ def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return left.join(right, may).select(F.col("l.cid").alias("cid"), F.col("r.cid").alias("other"))
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
-
-
 def least_shared(percent: int, k: int = SKETCH, risk: float = 1e-6) -> int:
     """The most sketch values that a pair at the threshold shares but for ``risk``: Binomial(k, percent / 100) is below it no oftener."""
     p, below, s = percent / 100, 0.0, 0
@@ -290,8 +284,7 @@ def _grouped(docs: DataFrame, percent: int, k: int, shared: int, scratch: Scratc
     grouped = base.where("digest is not null").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     grouped = grouped.select(F.monotonically_increasing_id().alias("cid"), "digest", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("key"), "n", "sketch")
     classes = scratch.keep(grouped, "classes")
-    links = near_links(docs, classes, scratch, k, percent, shared)
-    roots = scratch.keep(connected_components(links, scratch), "roots")
+    roots = near_components(docs, classes, scratch, k, percent, shared)
     linked = roots.join(classes.select(F.col("cid").alias("node"), "digest", F.struct("first_id", "key").alias("first")), "node")
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = scratch.keep(linked.join(smallest, "root").select("digest", "least"), "linked")
