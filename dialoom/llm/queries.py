@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontaminate, lines, minhash, ogg, packing, passages, quality, sharding, warc
+from . import brown, decontaminate, lines, minhash, ogg, packing, passages, periodic, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +60,22 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow)}
+def planted_words(doc_id: int | None, text: bytes) -> list[bytes]:
+    """The words of a text; of one in ten, by the id, the words from some place on repeat the first of them. A row without an id stays as it is."""
+    words = text.split()
+    if doc_id is None or not words:
+        return words
+    g, digit = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if digit:
+        return words
+    a = g % len(words)
+    period = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % period] for i in range(len(words) - a)]
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_table(spark, sf_dir, "documents"), planted_words)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow, op11_periodic)}
 SQL: dict[str, str] = {}
