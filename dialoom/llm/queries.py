@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontaminate, lines, minhash, ogg, packing, passages, periodic, quality, sharding, warc
+from . import alignment, brown, decontaminate, lines, minhash, ogg, packing, passages, periodic, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def aligned_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -77,5 +83,9 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(_table(spark, sf_dir, "documents"), planted_words)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow, op11_periodic)}
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"), *aligned_paths())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow, op11_periodic, op12_align)}
 SQL: dict[str, str] = {}
