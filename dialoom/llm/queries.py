@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, brown, decontaminate, lines, minhash, ogg, packing, passages, periodic, quality, sharding, warc
+from . import alignment, brown, decontaminate, groups, lines, minhash, ogg, packing, passages, periodic, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +87,9 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(_table(spark, sf_dir, "documents"), *aligned_paths())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow, op11_periodic, op12_align)}
+def op13_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_minhash, op3_shard, op4_brown, op5_passages, op6_lines, op7_ogg, op8_quality, op9_fixity, op10_winnow, op11_periodic, op12_align, op13_groups)}
 SQL: dict[str, str] = {}
