@@ -76,11 +76,14 @@ def first_extension(ids: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def lookup_with_fallback(refs: DataFrame, found: DataFrame, prefix: str) -> DataFrame:
-    """refs (ref_id, path) with the found path: itself, else the one below ``prefix``; null on a miss."""
+    """refs (ref_id, path) with the found path: itself, else the one below ``prefix``; null on a miss.
+
+    Each path of a repeated ``ref_id`` is looked up by itself, and repeated rows stay as many. Further columns stay.
+    """
     tried = F.array(F.struct(F.lit(0).alias("o"), F.col("path").alias("p")), F.struct(F.lit(1).alias("o"), F.concat(F.lit(prefix), F.col("path")).alias("p")))
     own = refs.select("ref_id", "path", F.explode(tried).alias("x")).select("ref_id", "path", "x.o", "x.p")
-    hits = own.join(found.select(F.col("path").alias("p")).distinct(), "p").groupBy("ref_id").agg(F.min_by("p", "o").alias("resolved"))
-    return refs.join(hits, "ref_id", "left")
+    hits = own.join(found.select(F.col("path").alias("p")).distinct(), "p").groupBy("ref_id", "path").agg(F.min_by("p", "o").alias("resolved"))
+    return refs.join(hits, ["ref_id", "path"], "left")
 
 
 def keyed_merge(tables: list[DataFrame], key: str) -> DataFrame:

@@ -402,7 +402,8 @@ def _found(r: DataFrame) -> DataFrame:
 
 
 def _prepared(turns: DataFrame, conversations: DataFrame, r: DataFrame) -> Prepared:
-    images = r.select(F.col("ref_id").alias("conv_id"), "split", "image")
+    numbered = order.with_position(r, "ref_id", "idx", ["split"])  # ids begin again in each split
+    images = numbered.select(F.col("idx").alias("conv_id"), "split", "idx", "image")
     return prepare(turns, _questions(conversations), images, _found(r), ["alpha", "beta", "images", ""], PREFIX, SYSTEM)
 
 
@@ -413,16 +414,17 @@ f as (
   from image_refs where {IMG} and ref_id % 3 <> 0
 ),
 c as (select conv_id, count(*) as rounds, string_agg(human || '|' || assistant, '~' order by round) as conversation from x group by 1),
+numbered as (select *, row_number() over (partition by split order by ref_id) - 1 as idx from image_refs),
 outcomes as (
-  select r.ref_id, r.split, coalesce(a.p, b.p) as resolved, coalesce(c.rounds, 0) as rounds, c.conversation,
+  select r.idx, r.split, coalesce(a.p, b.p) as resolved, coalesce(c.rounds, 0) as rounds, c.conversation,
     case when image is null then 'no_image' when split_part(image, '/', 1) not in ('alpha', 'beta', 'images', '') then 'filtered'
       when coalesce(a.p, b.p) is null then 'unresolved' when c.conv_id is null then 'no_conversations' else 'processed' end as outcome
-  from image_refs r left join f a on r.image = a.p left join f b on '{PREFIX}' || r.image = b.p left join c on c.conv_id = r.ref_id
+  from numbered r left join f a on r.image = a.p left join f b on '{PREFIX}' || r.image = b.p left join c on c.conv_id = r.idx
 )
 """
 _add(
     "prepare_rows",
-    f"{_PREPARED_SQL} select split, ref_id as conv_id, '{SYSTEM}' as system, rounds as n, conversation, resolved as images from outcomes where outcome = 'processed'",
+    f"{_PREPARED_SQL} select split, idx as conv_id, '{SYSTEM}' as system, rounds as n, conversation, resolved as images from outcomes where outcome = 'processed'",
     "refl_turns",
     "conversations",
     "image_refs",
@@ -432,11 +434,11 @@ _add(
     f"""
     {_PREPARED_SQL},
     failed as (
-      select split, ref_id, outcome, row_number() over (partition by split order by ref_id) as nth
+      select split, idx, outcome, row_number() over (partition by split order by idx) as nth
       from outcomes where outcome not in ('processed', 'filtered')
     ),
     s as (select split, {_COUNTS} from outcomes group by 1),
-    listed as (select split, string_agg('"' || outcome || ': ' || ref_id || '"', ',' order by ref_id) as errors from failed where nth <= 100 group by 1)
+    listed as (select split, string_agg('"' || outcome || ': ' || split || '_' || printf('%06d', idx) || '"', ',' order by idx) as errors from failed where nth <= 100 group by 1)
     {_document_sql('s left join listed using (split)')}
     """,
     "refl_turns",

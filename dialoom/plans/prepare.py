@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.operators import pairing, refs, resolve, stats
@@ -13,44 +13,75 @@ from dialoom.sources import sinks
 
 @dataclass
 class Prepared:
-    """``rows`` are (split, idx, conv_id, system, conversation, images); ``outcomes`` has a row for each input."""
+    """``judged`` has a row (split, idx, conv_id, outcome, rounds, system, conversation, images) for each input."""
 
-    rows: DataFrame
-    outcomes: DataFrame
+    judged: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        """The chat rows."""
+        return self.judged.where("outcome = 'processed'").select("split", "idx", "conv_id", "system", "conversation", "images")
+
+    @property
+    def outcomes(self) -> DataFrame:
+        return self.judged.select("conv_id", "split", "idx", "outcome", "rounds")
 
     def errors(self) -> DataFrame:
         """(split, idx, message) of the rows that failed; rows left out by their source are no errors."""
-        failed = self.outcomes.where(~F.col("outcome").isin("processed", "filtered"))
-        return failed.select("split", "idx", F.concat("outcome", F.lit(": "), F.col("conv_id").cast("string")).alias("message"))
+        failed = self.judged.where(~F.col("outcome").isin("processed", "filtered"))
+        return failed.select("split", "idx", F.concat("outcome", F.lit(": "), sample_id()).alias("message"))
 
     def stats(self) -> DataFrame:
         """(split, stats): seven counters and the first errors."""
         return stats.stats_by_split(self.outcomes, self.errors())
 
     def write(self, path: str) -> None:
-        """JSON lines for each split, in input order within each file, and the statistics document."""
-        for split in sorted(r["split"] for r in self.outcomes.select("split").distinct().collect()):  # a row for each split
-            own = self.rows.where(F.col("split") == split)
+        """The judged rows as Parquet by split, and from these JSON lines for each split, in input order within each file, and the statistics document.
+
+        The inputs are read once; each split's lines come from its own folder of the Parquet table.
+        """
+        spark = self.judged.sparkSession
+        self.judged.write.partitionBy("split").parquet(f"{path}/judged")
+        made = Prepared(spark.read.schema(self.judged.schema).parquet(f"{path}/judged"))
+        for split in sorted(r["split"] for r in made.judged.select("split").distinct().collect()):  # a row for each split
+            own = made.rows.where(F.col("split") == split)
             sinks.write_jsonl(own.select("idx", "system", "conversation", "images"), f"{path}/{split}", "idx")
-        sinks.stats_document(self.stats(), pretty=True).write.text(f"{path}/stats")
+        sinks.stats_document(made.stats(), pretty=True).write.text(f"{path}/stats")
+
+
+def sample_id() -> Column:
+    """A row's split and its position there, in six digits or more."""
+    return F.format_string("%s_%06d", F.col("split"), F.col("idx"))
+
+
+def _dialogues(df: DataFrame) -> DataFrame:
+    """The table with ``conv_id`` as a key of the dialogue: with the split, if the table has one."""
+    if "split" not in df.columns:
+        return df
+    return df.withColumn("conv_id", F.struct("split", "conv_id")).drop("split")
 
 
 def prepare(turns: DataFrame, questions: DataFrame, images: DataFrame, found: DataFrame, sources: list[str], prefix: str, system: str) -> Prepared:
-    """Chat rows of the dialogues that have an image of an allowed source which is found, and a round.
+    """Chat rows of the inputs that have an image of an allowed source which is found, and a round.
 
-    ``turns`` are reflective ones (conv_id, turn, role, kind, value), ``questions`` (conv_id, question), ``images`` (conv_id,
-    split, image) names the inputs, ``found`` (path) what can be resolved, as such or below ``prefix``. A row's outcome
-    is the first of its failures in the order of ``stats.OUTCOMES``; a failing row never stops others.
+    ``images`` (conv_id, split, image, and idx, by default the conv_id) names the inputs. They are told apart by split and idx, as
+    positions and ids begin again in each split; each keeps its own image, also if several share a dialogue. ``turns`` are
+    reflective ones (conv_id, turn, role, kind, value), ``questions`` (conv_id, question); with a further column ``split``, in
+    both, dialogues of one id in different splits are different ones, without it they are shared. ``found`` (path) is
+    what can be resolved, as such or below ``prefix``. A row's outcome is the first of its failures in the order
+    of ``stats.OUTCOMES``; a failing row never stops others.
     """
-    exchanges = pairing.reflective_exchanges(pairing.reflective_rounds(turns), questions)
-    own = images.select("conv_id", "split", F.col("conv_id").alias("idx"), "image")
-    looked = resolve.lookup_with_fallback(own.where(refs.has_image(F.col("image"))).select(F.col("conv_id").alias("ref_id"), F.col("image").alias("path")), found, prefix)
-    own = own.join(looked.select(F.col("ref_id").alias("conv_id"), "resolved"), "conv_id", "left")
-    chats = pairing.chat_rows(exchanges, "round", system, own.select("conv_id", F.col("resolved").alias("image")))
-    joined = own.join(chats, "conv_id", "left")
+    exchanges = pairing.reflective_exchanges(pairing.reflective_rounds(_dialogues(turns)), _dialogues(questions))
+    chats = pairing.chat_rows(exchanges, "round", system).select(F.col("conv_id").alias("dialogue"), "conversation")
+    idx = F.col("idx" if "idx" in images.columns else "conv_id").alias("idx")
+    own = images.select("conv_id", "split", idx, "image")
+    path = F.when(refs.has_image(F.col("image")), F.col("image")).alias("path")
+    looked = resolve.lookup_with_fallback(own.select(F.struct("split", "idx").alias("ref_id"), path, "*"), found, prefix)
+    dialogue = F.struct("split", "conv_id") if "split" in turns.columns else F.col("conv_id")
+    joined = looked.withColumn("dialogue", dialogue).join(chats, "dialogue", "left")
     outcome = stats.outcome(
         F.col("image").isNull(), ~refs.in_sources(F.col("image"), sources), F.col("resolved").isNull(), F.col("conversation").isNull()
     )
-    judged = joined.withColumn("outcome", outcome).withColumn("rounds", F.coalesce(F.size("conversation"), F.lit(0)).cast("bigint"))
-    rows = judged.where("outcome = 'processed'").select("split", "idx", "conv_id", "system", "conversation", "images")
-    return Prepared(rows, judged.select("conv_id", "split", "idx", "outcome", "rounds"))
+    rounds = F.coalesce(F.size("conversation"), F.lit(0)).cast("bigint").alias("rounds")
+    listed = F.when(F.col("resolved").isNull(), F.array().cast("array<string>")).otherwise(F.array("resolved")).alias("images")
+    return Prepared(joined.select("split", "idx", "conv_id", outcome.alias("outcome"), rounds, F.lit(system).alias("system"), "conversation", listed))

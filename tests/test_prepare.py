@@ -2,6 +2,7 @@
 
 import json
 
+from dialoom.operators import resolve
 from dialoom.plans.prepare import prepare
 
 
@@ -27,6 +28,40 @@ def test_written_rows_and_statistics(spark, tmp_path):
     (stats,) = [json.loads("\n".join(p.read_text() for p in (tmp_path / "stats").glob("part-*")))]
     assert stats["train"] == {
         "samples_processed": 2, "samples_skipped": 2, "samples_no_image": 1, "samples_no_conversations": 1, "samples_filtered_by_source": 0,
-        "total_rounds": 4, "images_saved": 3, "errors": ["no_image: 4", "no_conversations: 5"],
+        "total_rounds": 4, "images_saved": 3, "errors": ["no_image: train_000004", "no_conversations: train_000005"],
     }
     assert stats["test"]["samples_filtered_by_source"] == 1 and stats["test"]["errors"] == []
+
+
+SCHEMAS = "conv_id long, turn long, role string, kind string, value string", "conv_id long, question string", "conv_id long, split string, image string"
+
+
+def test_an_id_in_two_splits_keeps_its_images(spark):
+    turns = spark.createDataFrame([(1, 1, "student", "response", "Answer: a")], SCHEMAS[0])
+    questions = spark.createDataFrame([(1, "q")], SCHEMAS[1])
+    found = spark.createDataFrame([("x/1.jpg",), ("x/2.jpg",), ("x/2.jpg",)], "path string")
+    images = spark.createDataFrame([(1, "train", "x/1.jpg"), (1, "test", "x/2.jpg")], SCHEMAS[2])
+    made = prepare(turns, questions, images, found, ["x"], "y/", "sys")
+    assert sorted((r["split"], r["images"]) for r in made.rows.collect()) == [("test", ["x/2.jpg"]), ("train", ["x/1.jpg"])]
+    assert sorted((r["split"], r["outcome"], r["rounds"]) for r in made.outcomes.collect()) == [("test", "processed", 1), ("train", "processed", 1)]
+    # Several positions of one split may share a dialogue as well.
+    rows = [(1, "train", "x/1.jpg", 0), (1, "train", "x/2.jpg", 1), (1, "train", None, 2), (1, "train", "x/1.jpg", 3)]
+    made = prepare(turns, questions, spark.createDataFrame(rows, SCHEMAS[2] + ", idx long"), found, ["x"], "y/", "sys")
+    assert sorted((r["idx"], r["images"]) for r in made.rows.collect()) == [(0, ["x/1.jpg"]), (1, ["x/2.jpg"]), (3, ["x/1.jpg"])]
+    assert [r["message"] for r in made.errors().collect()] == ["no_image: train_000002"]
+
+
+def test_dialogues_by_split(spark):
+    turns = [(1, 1, "student", "response", f"Answer: {s}", s) for s in ("train", "test")]
+    questions = spark.createDataFrame([(1, "q", "train"), (1, "p", "test")], SCHEMAS[1] + ", split string")
+    images = spark.createDataFrame([(1, "train", "x/1.jpg"), (1, "test", "x/1.jpg")], SCHEMAS[2])
+    made = prepare(spark.createDataFrame(turns, SCHEMAS[0] + ", split string"), questions, images, images.select(images.image.alias("path")), ["x"], "y/", "sys")
+    told = {r["split"]: [tuple(e) for e in r["conversation"]] for r in made.rows.collect()}
+    assert told == {"train": [("q", "train")], "test": [("p", "test")]}
+
+
+def test_lookup_of_repeated_references(spark):
+    refs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, None)], "ref_id long, path string")
+    got = resolve.lookup_with_fallback(refs, spark.createDataFrame([("a",), ("y/b",)], "path string"), "y/").collect()
+    assert sorted((r["ref_id"], r["path"] or "", r["resolved"]) for r in got if r["path"] != "c") == [(1, "a", "a"), (1, "b", "y/b"), (1, "b", "y/b"), (2, "", None)]
+    assert len(got) == 5
