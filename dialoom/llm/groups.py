@@ -111,12 +111,12 @@ def _postings(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             first = [told(np.array(low, np.int64), n) for low, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64()))], names=["cid", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(first, pa.list_(pa.int64()))], names=["cid", "n", "first"])
 
-    told_low = scratch.keep(classes.select("cid", "low", "n").mapInArrow(run, "cid long, first array<long>"), "first")
-    open_ = scratch.keep(classes.join(told_low.where("size(first) = 0"), "cid", "left_semi").select("cid", "key"), "unsure")
-    whole = scratch.keep(_whole_sets(docs, open_, "first", lambda full: told(full, len(full))), "first")
-    first = told_low.where("size(first) > 0").union(whole).join(classes.select("cid", "n"), "cid")
+    told_low = scratch.keep(classes.select("cid", "low", "n").mapInArrow(run, "cid long, n long, first array<long>"), "first")
+    open_ = scratch.keep(classes.select("cid", "key").join(told_low.where("size(first) = 0"), "cid").select("cid", "key", "n"), "unsure")
+    whole = scratch.keep(_whole_sets(docs, open_.select("cid", "key"), "first", lambda full: told(full, len(full))), "first")
+    first = told_low.where("size(first) > 0").union(whole.join(open_, "cid").select("cid", "n", "first"))
     length = F.size("first") - 1
     rows = first.select("cid", "n", (length - F.element_at("first", -1)).alias("weight"), F.posexplode(F.slice("first", 1, length)).alias("place", "token"))
     rows = scratch.keep(rows.withColumn("place", F.col("place") + 1), "postings")
@@ -132,6 +132,12 @@ def _may_meet(percent: int, n: str, place: str, other_n: str, other_place: str)
     return (100 + percent) * left >= percent * (F.col(n) + F.col(other_n))
 
 
+def _of(classes: DataFrame, named: DataFrame, *columns: str) -> DataFrame:
+    """The classes that ``named`` (cid) may name, by a bitmap, so that the columns of most others aren't shuffled."""
+    key = F.struct(F.xxhash64("cid").alias("a")).alias("key")
+    return with_bit(classes.select("cid", *columns, key), named.select(key), "likely").where("likely").select("cid", *columns)
+
+
 def _few_differ(percent: int, differ: Column) -> Column:
     return (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
 
@@ -139,13 +145,14 @@ def _few_differ(percent: int, differ: Column) -> Column:
 def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b, both, linked) of those pairs whose differences the bounds don't exclude, on whole sets."""
 
-    def side(x: str, *columns: str) -> DataFrame:
-        return classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
+    def side(x: str, own: DataFrame, *columns: str) -> DataFrame:
+        return own.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
 
     bits = sum((F.bit_count(F.get("odda", F.lit(i)).bitwiseXOR(F.get("oddb", F.lit(i)))) for i in range(4)), F.lit(0))
-    near = pairs.join(side("a", "n", "odd"), "a").join(side("b", "n", "odd"), "b").where(_few_differ(percent, bits))
+    near = pairs.join(side("a", classes, "n", "odd"), "a").join(side("b", classes, "n", "odd"), "b").where(_few_differ(percent, bits))
     near = scratch.keep(near.select("a", "b", "na", "nb"), "alike")
-    lows = near.join(side("a", "low"), "a").join(side("b", "low"), "b")
+    alike = [_of(classes, near.select(F.col(x).alias("cid")), "low") for x in "ab"]
+    lows = near.join(side("a", alike[0], "low"), "a").join(side("b", alike[1], "low"), "b")
     reach = F.least(*[F.when(F.size(f"low{x}") < F.col(f"n{x}"), F.element_at(f"low{x}", -1)).otherwise(_TOP) for x in "ab"])
     lacks = lambda x, y: F.size(F.filter(F.array_except(f"low{x}", f"low{y}"), lambda t: t <= F.col("reach")))
     lows = lows.withColumn("reach", reach).where(_few_differ(percent, lacks("a", "b") + lacks("b", "a")))
@@ -205,12 +212,13 @@ def _open_groups(classes: DataFrame, postings: DataFrame, groups: DataFrame, scr
     left = 1 + F.least(F.col("nq") - F.col("pq"), F.col("n_hi") - F.col("best"))
     met = met.where((100 + percent) * left >= percent * (F.col("nq") + least)).select("q", "nq", "grp").distinct()
     met = scratch.keep(met, "met")
-    members = groups.join(met.select("grp").distinct(), "grp", "left_semi").join(classes.select("cid", "n", "low"), "cid")
+    members = scratch.keep(groups.join(met.select("grp").distinct(), "grp", "left_semi"), "members")
+    members = members.join(_of(classes, members, "n", "low"), "cid")
     reach = F.min(F.when(F.size("low") < F.col("n"), F.element_at("low", -1)).otherwise(_TOP)).alias("reach")
     sizes = members.groupBy("grp").agg(reach, F.min("n").alias("least_n"))
     union = members.select("grp", F.explode("low").alias("token")).groupBy("grp").agg(F.collect_set("token").alias("tokens"))
     stored = scratch.keep(sizes.join(union, "grp"), "unions")
-    own = classes.select(F.col("cid").alias("q"), F.col("low").alias("low"), F.when(F.size("low") < F.col("n"), F.element_at("low", -1)).otherwise(_TOP).alias("own"))
+    own = _of(classes, met.select(F.col("q").alias("cid")), "n", "low").select(F.col("cid").alias("q"), "low", F.when(F.size("low") < F.col("n"), F.element_at("low", -1)).otherwise(_TOP).alias("own"))
     asked = met.join(own, "q").join(stored, "grp")
     lacking = F.size(F.filter(F.array_except("low", "tokens"), lambda t: t <= F.least("reach", "own")))
     may = (100 + percent) * (F.col("nq") - lacking) >= percent * (F.col("nq") + F.greatest("nq", "least_n"))
