@@ -75,6 +75,6 @@ def head_after(df: DataFrame, condition: Column, key: str, n: int) -> DataFrame:
 
 
 def until_found(scan: DataFrame, needed: DataFrame, key: str) -> DataFrame:
-    """A row of ``scan`` for each needed key that it holds; the scan ends early once all have been found."""
+    """A row of ``scan`` for each needed key that it holds. The whole scan is read: the limit stands above an aggregate."""
     wanted = needed.select(key).distinct()
     return scan.join(wanted, key, "left_semi").dropDuplicates([key]).limit(wanted.count())
