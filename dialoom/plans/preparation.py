@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dialoom.functions import text as T
 from dialoom.functions import values as V
 from dialoom.operators import order, pairing, refs, resolve, stats
-from dialoom.sources import readers, sinks
+from dialoom.sources import readers, sinks, staged
+from dialoom.sources.shared import shared_path as _shared
 
 from .fixtures import view
 from .prepare import Prepared, prepare
@@ -38,15 +39,6 @@ from .queries import (
 # --- scans -------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}-{name}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def _scan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = readers.read_split(spark, sf_dir, "events")
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
@@ -319,6 +311,55 @@ _add(
     "labels",
 )(lambda d, n: order.until_found(d.select("doc_id"), n.where("toxic = 1"), "doc_id"))
 
+
+
+def _event_splits(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Two splits of the events, each of numbered files in the order of the events."""
+    paths = []
+    for split, own in (("train", F.col("event_id") % 3 != 0), ("val", F.col("event_id") % 3 == 0)):
+        paths.append(_shared(spark, f"{split}.parquet"))
+        view(spark, sf_dir, "events").where(own).repartitionByRange(16, "event_id").sortWithinPartitions("event_id").write.parquet(paths[-1])
+    return paths
+
+
+def _until_found(keep: str, needed: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = staged.read_until_found(spark, _event_splits(spark, sf_dir), needed(view(spark, sf_dir, "events")), "user_id", keep, first_files=1)
+        return rows.select("user_id", "event_id", "event_type", "split_ord")
+
+    return run
+
+
+def _until_found_sql(needed: str, pick: str) -> str:
+    """Rows numbered over both splits; the stop is the greatest first place, if each needed key has one."""
+    return f"""
+    with needed as ({needed}),
+    placed as (
+      select user_id, event_id, event_type, case when event_id % 3 = 0 then 1 else 0 end as split_ord,
+        row_number() over (order by case when event_id % 3 = 0 then 1 else 0 end, event_id) as pos
+      from events
+    ),
+    hits as (select * from placed where user_id in (select user_id from needed)),
+    stop as (
+      select case when count(*) = (select count(*) from needed) then max(first_pos) end as pos
+      from (select user_id, min(pos) as first_pos from hits group by 1)
+    ),
+    ranked as (
+      select h.*, row_number() over (partition by user_id order by h.pos {pick}) as nth
+      from hits h, stop where stop.pos is null or h.pos <= stop.pos
+    )
+    select user_id, event_id, event_type, split_ord from ranked where nth = 1
+    """
+
+
+# Users of the first events are found early; the users of one kind of event of the second split alone are found late, or never.
+QUERIES["scan_until_found"] = _until_found("last", lambda e: e.where("event_id % 3 <> 0 and event_id < 60").select("user_id"))
+SQL["scan_until_found"] = _until_found_sql("select distinct user_id from events where event_id % 3 <> 0 and event_id < 60 and user_id is not null", "desc")
+QUERIES["scan_second_split"] = _until_found("last", lambda e: e.groupBy("user_id").agg(F.count_if(F.col("event_id") % 3 != 0).alias("n")).where("n <= 1"))
+SQL["scan_second_split"] = _until_found_sql("select user_id from events where user_id is not null group by 1 having count(*) filter (event_id % 3 <> 0) <= 1", "desc")
+QUERIES["scan_never_found"] = _until_found("first", lambda e: e.select("user_id").union(e.select(F.max("user_id") + 1)))
+SQL["scan_never_found"] = _until_found_sql("select distinct user_id from events union select max(user_id) + 1 from events", "asc")
+
 # --- sinks and statistics ----------------------------------------------------------------
 
 
