@@ -80,10 +80,12 @@ def lookup_with_fallback(refs: DataFrame, found: DataFrame, prefix: str) -> Data
 
     Each path of a repeated ``ref_id`` is looked up by itself, and repeated rows stay as many. Further columns stay.
     """
-    tried = F.array(F.struct(F.lit(0).alias("o"), F.col("path").alias("p")), F.struct(F.lit(1).alias("o"), F.concat(F.lit(prefix), F.col("path")).alias("p")))
-    own = refs.select("ref_id", "path", F.explode(tried).alias("x")).select("ref_id", "path", "x.o", "x.p")
-    hits = own.join(found.select(F.col("path").alias("p")).distinct(), "p").groupBy("ref_id", "path").agg(F.min_by("p", "o").alias("resolved"))
-    return refs.join(hits, ["ref_id", "path"], "left")
+    known = found.select(F.col("path").alias("p")).distinct()
+    apart = F.coalesce("path", F.concat(F.lit("\0"), F.to_json(F.struct("ref_id"))))  # rows without a path match nothing, and are spread
+    own = refs.withColumn("__key", apart).join(known.withColumnRenamed("p", "__own"), F.col("path").isNotNull() & (F.col("__key") == F.col("__own")), "left")
+    own = own.withColumn("__key", F.concat(F.lit(prefix), "__key"))
+    below = own.join(known.withColumnRenamed("p", "__below"), F.col("path").isNotNull() & F.col("__own").isNull() & (F.col("__key") == F.col("__below")), "left")
+    return below.withColumn("resolved", F.coalesce("__own", "__below")).drop("__key", "__own", "__below")
 
 
 def keyed_merge(tables: list[DataFrame], key: str) -> DataFrame:

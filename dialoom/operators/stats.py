@@ -16,8 +16,9 @@ def outcome(no_image: Column, filtered: Column, unresolved: Column, no_conversat
     return F.when(no_image, "no_image").when(filtered, "filtered").when(unresolved, "unresolved").when(no_conversations, "no_conversations").otherwise("processed")
 
 
-def counters() -> list[Column]:
-    own = F.col("outcome")
+def counters(counted: Column | None = None) -> list[Column]:
+    """The seven counters, of the rows that meet ``counted`` if it is given."""
+    own = F.col("outcome") if counted is None else F.when(counted, F.col("outcome"))
     return [
         F.count_if(own == "processed").alias("samples_processed"), F.count_if(own != "processed").alias("samples_skipped"),
         F.count_if(own.isin("no_image", "unresolved")).alias("samples_no_image"), F.count_if(own == "no_conversations").alias("samples_no_conversations"),
@@ -27,6 +28,20 @@ def counters() -> list[Column]:
     ]
 
 
+# Names of the counters, in the order of a statistics document.
+COUNTERS = ("samples_processed", "samples_skipped", "samples_no_image", "samples_no_conversations", "samples_filtered_by_source", "total_rounds", "images_saved")
+
+
+def observed(splits: list[str], **more: Column) -> list[Column]:
+    """Metrics for ``DataFrame.observe``: each split's counters, its further sums ``more``, and how many rows are of no such split."""
+    out = [F.count_if(~F.coalesce(F.col("split").isin(*splits), F.lit(False))).alias("others")]
+    for i, split in enumerate(splits):
+        own = F.col("split") == split
+        out += [c.alias(f"{i}_{name}") for c, name in zip(counters(own), COUNTERS, strict=True)]
+        out += [F.coalesce(F.sum(F.when(own, c)), F.lit(0)).cast("bigint").alias(f"{i}_{name}") for name, c in more.items()]
+    return out
+
+
 def run_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(*counters())
 
@@ -38,13 +53,17 @@ def run_stats_rollup(rows: DataFrame) -> DataFrame:
 
 def stats_by_split(rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """(split, stats): the counters and the first errors of each split as one struct."""
-    own = run_stats(rows)
-    names = [c for c in own.columns if c != "split"]
+    return with_errors(run_stats(rows), errors)
+
+
+def with_errors(counted: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(split, stats) of the counters by split and the errors (split, idx, message), the first of each split."""
+    names = [c for c in counted.columns if c != "split"]
     if errors is None:
-        return own.select("split", F.struct(*names).alias("stats"))
+        return counted.select("split", F.struct(*names).alias("stats"))
     listed = first_errors(errors).groupBy("split").agg(F.array_sort(F.collect_list(F.struct("idx", "message"))).alias("e"))  # ERRORS at most
     messages = F.coalesce(F.transform("e", lambda e: e["message"]), F.array().cast("array<string>"))
-    return own.join(listed, "split", "left").select("split", F.struct(*names, messages.alias("errors")).alias("stats"))
+    return counted.join(listed, "split", "left").select("split", F.struct(*names, messages.alias("errors")).alias("stats"))
 
 
 def summary_lines(stats: DataFrame) -> DataFrame:

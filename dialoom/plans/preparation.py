@@ -314,9 +314,9 @@ _add(
 
 
 def _event_splits(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Two splits of the events, each of numbered files in the order of the events."""
-    paths = []
-    for split, own in (("train", F.col("event_id") % 3 != 0), ("val", F.col("event_id") % 3 == 0)):
+    """Two splits of the events, each of numbered files in the order of the events; some users are in the second alone."""
+    paths, second = [], (F.col("event_id") % 3 == 0) | (F.col("user_id") % 10 == 0)
+    for split, own in (("train", ~second), ("val", second)):
         paths.append(_shared(spark, f"{split}.parquet"))
         view(spark, sf_dir, "events").where(own).repartitionByRange(16, "event_id").sortWithinPartitions("event_id").write.parquet(paths[-1])
     return paths
@@ -335,8 +335,8 @@ def _until_found_sql(needed: str, pick: str) -> str:
     return f"""
     with needed as ({needed}),
     placed as (
-      select user_id, event_id, event_type, case when event_id % 3 = 0 then 1 else 0 end as split_ord,
-        row_number() over (order by case when event_id % 3 = 0 then 1 else 0 end, event_id) as pos
+      select user_id, event_id, event_type, case when event_id % 3 = 0 or user_id % 10 = 0 then 1 else 0 end as split_ord,
+        row_number() over (order by case when event_id % 3 = 0 or user_id % 10 = 0 then 1 else 0 end, event_id) as pos
       from events
     ),
     hits as (select * from placed where user_id in (select user_id from needed)),
@@ -352,11 +352,11 @@ def _until_found_sql(needed: str, pick: str) -> str:
     """
 
 
-# Users of the first events are found early; the users of one kind of event of the second split alone are found late, or never.
-QUERIES["scan_until_found"] = _until_found("last", lambda e: e.where("event_id % 3 <> 0 and event_id < 60").select("user_id"))
-SQL["scan_until_found"] = _until_found_sql("select distinct user_id from events where event_id % 3 <> 0 and event_id < 60 and user_id is not null", "desc")
-QUERIES["scan_second_split"] = _until_found("last", lambda e: e.groupBy("user_id").agg(F.count_if(F.col("event_id") % 3 != 0).alias("n")).where("n <= 1"))
-SQL["scan_second_split"] = _until_found_sql("select user_id from events where user_id is not null group by 1 having count(*) filter (event_id % 3 <> 0) <= 1", "desc")
+# Users of the first events of the first split end the scan there; those whom it hasn't lead to the second, and a user of no event to the ends of both.
+QUERIES["scan_until_found"] = _until_found("last", lambda e: e.where("event_id < 60 and user_id % 10 <> 0").select("user_id"))
+SQL["scan_until_found"] = _until_found_sql("select distinct user_id from events where event_id < 60 and user_id % 10 <> 0", "desc")
+QUERIES["scan_second_split"] = _until_found("last", lambda e: e.where("event_id < 600 and (event_id < 60 or user_id % 10 = 0)").select("user_id"))
+SQL["scan_second_split"] = _until_found_sql("select distinct user_id from events where event_id < 600 and (event_id < 60 or user_id % 10 = 0)", "desc")
 QUERIES["scan_never_found"] = _until_found("first", lambda e: e.select("user_id").union(e.select(F.max("user_id") + 1)))
 SQL["scan_never_found"] = _until_found_sql("select distinct user_id from events union select max(user_id) + 1 from events", "asc")
 
@@ -376,6 +376,27 @@ SQL["sink_jsonl"] = """
 select '{"doc_id":' || doc_id || ',"lang":"' || lang || '","s":' || case when doc_id % 5 <> 0 then '"é' || source || '"' else 'null' end || '}' as line
 from documents
 """
+
+
+def _ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the order of the documents over numbered files, read again by their manifest."""
+    path = _shared(spark, "ordered")
+    rows = view(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("id"), "lang", "text")
+    sinks.write_ordered(rows, path, "doc_id", file_bytes=32 << 20)
+    return sinks.read_ordered(spark, path).select("line_no", F.get_json_object("line", "$.id").cast("bigint").alias("id"), F.get_json_object("line", "$.lang").alias("lang"), F.md5(F.get_json_object("line", "$.text")).alias("md5"))
+
+
+QUERIES["sink_ordered"] = _ordered_lines
+SQL["sink_ordered"] = "select row_number() over (order by doc_id) - 1 as line_no, doc_id as id, lang, md5(text) as md5 from documents"
+
+
+def _written_stats(turns: DataFrame, conversations: DataFrame, r: DataFrame) -> DataFrame:
+    """Counters that were taken while the rows were written."""
+    spark = r.sparkSession
+    told = _prepared(turns, conversations, r).write(_shared(spark, "prepared"), file_bytes=32 << 20)
+    return spark.createDataFrame([(s, *own.values()) for s, own in told.items()], "split string, " + ", ".join(f"{c} long" for c in stats.COUNTERS))
+
+
 _COUNTERS = [c.split(" as ")[-1].strip() for c in _COUNTS.replace("cast(coalesce(sum(rounds) filter (outcome='processed'),0) as bigint)", "x").split(", ")]
 _STATS_SQL = f"""
 o as (select *, row_number() over (partition by split, outcome order by ref_id) as nth from (select * from outcomes) t),
@@ -486,3 +507,10 @@ _add(
     "conversations",
     "image_refs",
 )(lambda t, c, r: sinks.stats_document(_prepared(t, c, r).stats()))
+_add(
+    "prepare_write",
+    f"{_PREPARED_SQL} select split, {_COUNTS} from outcomes group by 1",
+    "refl_turns",
+    "conversations",
+    "image_refs",
+)(_written_stats)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.operators import pairing, refs, resolve, stats
-from dialoom.sources import sinks
+from dialoom.sources import readers, sinks
+
+#: Columns of a chat row's line.
+LINE = ("system", "conversation", "images")
 
 
 @dataclass
@@ -35,18 +40,38 @@ class Prepared:
         """(split, stats): seven counters and the first errors."""
         return stats.stats_by_split(self.outcomes, self.errors())
 
-    def write(self, path: str) -> None:
-        """The judged rows as Parquet by split, and from these JSON lines for each split, in input order within each file, and the statistics document.
+    def write(self, path: str, splits: Sequence[str] = readers.SPLITS, file_bytes: int = sinks.FILE_BYTES) -> dict[str, dict[str, int]]:
+        """The judged rows as Parquet by split, from these JSON lines for each split in the inputs' order, and the statistics document; the counters by split.
 
-        The inputs are read once; each split's lines come from its own folder of the Parquet table.
+        The inputs are read once: the counters of ``splits`` are taken from the rows while they are written, in the stage that writes
+        them; only if other splits turn up are the counters taken from the written table. Errors and lines are read
+        from there too. Each split's lines have a manifest, so that a further run over written rows goes on where the last one ended.
         """
-        spark = self.judged.sparkSession
-        self.judged.write.partitionBy("split").parquet(f"{path}/judged")
-        made = Prepared(spark.read.schema(self.judged.schema).parquet(f"{path}/judged"))
-        for split in sorted(r["split"] for r in made.judged.select("split").distinct().collect()):  # a row for each split
-            own = made.rows.where(F.col("split") == split)
-            sinks.write_jsonl(own.select("idx", "system", "conversation", "images"), f"{path}/{split}", "idx")
-        sinks.stats_document(made.stats(), pretty=True).write.text(f"{path}/stats")
+        spark, table = self.judged.sparkSession, f"{path}/judged"
+        if readers.exists(spark, f"{path}/stats/_SUCCESS"):
+            return _counters(spark, path)
+        names = list(dict.fromkeys(splits))
+        line = F.when(F.col("outcome") == "processed", F.octet_length(sinks.json_line(*LINE)) + 1)
+        watch = Observation()
+        self.judged.observe(watch, *stats.observed(names, bytes=line)).write.mode("overwrite").partitionBy("split").parquet(table)
+        got, made = watch.get, Prepared(spark.read.schema(self.judged.schema).parquet(table))
+        counted = spark.createDataFrame([(s, *[got[f"{i}_{c}"] for c in stats.COUNTERS]) for i, s in enumerate(names)], "split string, " + ", ".join(f"{c} long" for c in stats.COUNTERS))
+        counted = counted.where("samples_processed + samples_skipped > 0")
+        sizes = {s: got[f"{i}_bytes"] for i, s in enumerate(names) if got[f"{i}_samples_processed"] + got[f"{i}_samples_skipped"]}
+        if got["others"]:
+            counted = stats.run_stats(made.judged)
+            sizes |= {r["split"]: None for r in counted.select("split").collect() if r["split"] not in sizes}  # a row for each split
+        for split, size in sorted(sizes.items(), key=lambda s: s[0] or ""):
+            own = made.rows.where(F.col("split").eqNullSafe(split))
+            sinks.write_ordered(own.select("idx", *LINE), f"{path}/{split}", "idx", file_bytes, size)
+        sinks.stats_document(stats.with_errors(counted, made.errors()), pretty=True).coalesce(1).write.mode("overwrite").text(f"{path}/stats")
+        return _counters(spark, path)
+
+
+def _counters(spark: SparkSession, path: str) -> dict[str, dict[str, int]]:
+    """The written statistics without their errors; a document of a line for each counter and at most a hundred errors a split."""
+    told = json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(f"{path}/stats").collect()) or "{}")
+    return {split: {c: own[c] for c in stats.COUNTERS} for split, own in told.items()}
 
 
 def sample_id() -> Column:

@@ -65,3 +65,46 @@ def test_lookup_of_repeated_references(spark):
     got = resolve.lookup_with_fallback(refs, spark.createDataFrame([("a",), ("y/b",)], "path string"), "y/").collect()
     assert sorted((r["ref_id"], r["path"] or "", r["resolved"]) for r in got if r["path"] != "c") == [(1, "a", "a"), (1, "b", "y/b"), (1, "b", "y/b"), (2, "", None)]
     assert len(got) == 5
+
+
+def _counted(df, seen):
+    """The rows as they are, counted when they are read."""
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_inputs_are_read_once_and_counted_while_written(spark, tmp_path):
+    turns = spark.createDataFrame([(c, 1, "student", "response", "Answer: a") for c in range(40)], SCHEMAS[0])
+    questions = spark.createDataFrame([(c, "q") for c in range(40)], SCHEMAS[1])
+    rows = [(i % 50, "train" if i % 3 else "test", ["x/1.jpg", None, "x/2.jpg", "z/1.jpg"][i % 4], i) for i in range(300)]
+    images = spark.createDataFrame(rows, SCHEMAS[2] + ", idx long").repartition(4)
+    found = spark.createDataFrame([("x/1.jpg",)], "path string")
+    seen = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    made = prepare(*[_counted(df, s) for df, s in zip((turns, questions, images), seen, strict=True)], found, ["x"], "y/", "sys")
+    told = made.write(str(tmp_path), file_bytes=500)
+    assert [s.value for s in seen] == [40, 40, 300]
+    plain = prepare(turns, questions, images, found, ["x"], "y/", "sys")
+    expected = {r["split"]: r["stats"].asDict() for r in plain.stats().collect()}
+    assert told == {s: {k: v for k, v in own.items() if k != "errors"} for s, own in expected.items()}
+    (written,) = [json.loads(p.read_text()) for p in (tmp_path / "stats").glob("part-*")]
+    assert written == expected and len(written["train"]["errors"]) == 100
+    # Lines in input order over several files, read in order of their names.
+    files = sorted((tmp_path / "train").glob("part-*"))
+    lines = [json.loads(x) for p in files for x in p.read_text().splitlines()]
+    wanted = [r for r in rows if r[1] == "train" and r[2] == "x/1.jpg" and r[0] < 40]
+    assert len(files) > 2 and len(lines) == len(wanted) == told["train"]["samples_processed"]
+    assert made.write(str(tmp_path)) == told and [s.value for s in seen] == [40, 40, 300]  # a second run reads and writes nothing
+
+
+def test_other_splits_and_no_rows(spark, tmp_path):
+    turns, questions = spark.createDataFrame([(1, 1, "student", "response", "Answer: a")], SCHEMAS[0]), spark.createDataFrame([(1, "q")], SCHEMAS[1])
+    found = spark.createDataFrame([("x/1.jpg",)], "path string")
+    images = spark.createDataFrame([(1, "train", "x/1.jpg"), (1, "dev", "x/1.jpg"), (2, "dev", None)], SCHEMAS[2])
+    told = prepare(turns, questions, images, found, ["x"], "y/", "sys").write(str(tmp_path / "a"))
+    assert {s: (own["samples_processed"], own["samples_no_image"]) for s, own in told.items()} == {"train": (1, 0), "dev": (1, 1)}
+    assert prepare(turns, questions, images.where("false"), found, ["x"], "y/", "sys").write(str(tmp_path / "b")) == {}
