@@ -1,9 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Python makes tokens and their end offsets; everything after that is Spark's functions on arrays. The byte offsets
-at which tokens of both sides end (``array_intersect``) cut a text into groups. A table with an entry for each byte
-says whether a group ends there, so that each token finds out by one access; the last tokens of the groups
-give the slices of either side. A group links each of its A tokens with each of its B tokens.
+at which tokens of both sides end (``array_intersect``) cut a text into groups. Sorted together with a side's ends
+they stand twice, which tells the groups' last tokens on that side, and these the slices of its ids. A group links each of its A tokens with each of its B tokens.
 
 How many documents hold a pair linked is counted over the corpus. The counts come back to the
 documents without moving their links: the commonest ``COMMON`` pairs are broadcast, whatever the corpus, and summed in
@@ -111,34 +110,33 @@ def tokenize(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
-def _ends_by_byte(common: Column) -> Column:
-    """For each byte, whether one of the offsets ``common`` is behind it."""
-    before = lambda e, k: e - F.coalesce(F.get(common, k - 1), F.lit(0))
-    return F.flatten(F.transform(common, lambda e, k: F.concat(F.array_repeat(F.lit(False), before(e, k) - 1), F.array(F.lit(True)))))
+def _places(ends: Column, common: Column) -> Column:
+    """The places, from 0, of the tokens that end a group: in the sorted list of both, their ends stand twice."""
+    both = F.sort_array(F.concat(ends, common))
 
+    def found(sorted_: Column) -> Column:
+        twice = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 2), lambda i: F.get(sorted_, i) == F.get(sorted_, i + 1))
+        return F.transform(twice, lambda i, k: i - k)
 
-def _places(ends: Column, by_byte: Column) -> Column:
-    """The places, from 0, of the tokens that end a group."""
-    every = F.sequence(F.lit(0), F.size(ends) - 1)
-    return F.filter(every, lambda i: F.get(by_byte, F.get(ends, i) - 1))
+    return let(both, found)
 
 
-def _part(ids: Column, last: Column, k: Column) -> Column:
-    """The ids of group ``k``."""
-    first = F.coalesce(F.get(last, k - 1), F.lit(-1)) + 1
-    return F.slice(ids, first + 1, F.get(last, k) - first + 1)
+def _parts(ids: Column, last: Column) -> Column:
+    """The ids of each group, whose last tokens are at ``last``."""
+
+    def part(at: Column, k: Column) -> Column:
+        first = F.coalesce(F.get(last, k - 1), F.lit(-1)) + 1
+        return F.when(at == first, F.array(F.get(ids, at))).otherwise(F.slice(ids, first + 1, at - first + 1))
+
+    return F.transform(last, part)
 
 
 def groups_of(a_ids: Column, a_ends: Column, b_ids: Column, b_ends: Column) -> Column:
     """array<struct<a, b>>: the ids of either side between offsets at which both sides' tokens end."""
-    cut = lambda common: let(
-        _ends_by_byte(common),
-        lambda by_byte: let(
-            F.struct(_places(a_ends, by_byte).alias("a"), _places(b_ends, by_byte).alias("b")),
-            lambda last: F.transform(F.sequence(F.lit(0), F.size(common) - 1), lambda k: F.struct(_part(a_ids, last["a"], k).alias("a"), _part(b_ids, last["b"], k).alias("b"))),
-        ),
-    )
+    side = lambda ids, ends, common: let(_places(ends, common), lambda last: _parts(ids, last))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     none = F.array().cast("array<struct<a: array<int>, b: array<int>>>")
+    cut = lambda common: F.zip_with(side(a_ids, a_ends, common), side(b_ids, b_ends, common), pair)
     return let(F.array_intersect(a_ends, b_ends), lambda common: F.when(F.size(common) > 0, cut(common)).otherwise(none))
 
 
