@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Python makes tokens and their end offsets; everything after that is Spark's functions on arrays. The byte offsets
-at which tokens of both sides end (``array_intersect``) cut a text into groups. Sorted together with a side's ends
-they stand twice, which tells the groups' last tokens on that side, and these the slices of its ids. A group links each of its A tokens with each of its B tokens.
+Where tokens of both sides end at one byte, a text is cut into groups. Ends are sums of the tokens' sizes, and those of a
+slice of texts are searched at once, as texts end together on both sides. A group links each of its A tokens with each of
+its B tokens. That much is done where a text is tokenised, on arrays of numbers; all that concerns several texts is Spark's.
 
 How many documents hold a pair linked is counted over the corpus. The counts come back to the
 documents without moving their links: the commonest ``COMMON`` pairs are broadcast, whatever the corpus, and summed in
@@ -11,15 +11,17 @@ place; only links of rarer pairs are joined by their pair, of which none is freq
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, let, slices
+from .scratch import Scratch, slices
 
 #: Pairs whose counts are broadcast, at most: 65,536 rows of three numbers.
 COMMON = 1 << 16
@@ -82,85 +84,93 @@ def _loaded(kind: type, path: str):
     return _LOADED[kind, path]
 
 
-def _lists(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """The ids and the byte offsets at which they end, as lists."""
-    offsets = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
-    every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    ends = [np.cumsum(sizes[x], dtype=np.int32) for x in ids]
-    return pa.ListArray.from_arrays(offsets, pa.array(every)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ends) if ends else every))
+def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' ids one after another, and where each text's begin, with the end."""
+    starts = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+    return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), starts
 
 
-def tokenize(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends: the tokens of a space and the text on both sides; none if either side doesn't give back these bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _loaded(ByteTokens, byte_path), _loaded(PieceTokens, piece_path)
-        none = np.zeros(0, np.int32)
-        for batch in slices(batches, 64):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for text, x, y in zip(texts, a.encode([" " + t for t in texts]), b.encode(texts)):
-                raw = b" " + text.encode()
-                good = text and b"".join(map(a.entries.__getitem__, x)) == raw and b"".join(map(b.entries.__getitem__, y)) == raw
-                rows.append((np.array(x, np.int32), np.array(y, np.int32)) if good else (none, none))
-            sides = [*_lists([x for x, _ in rows], a.sizes), *_lists([y for _, y in rows], b.sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+def cut(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last tokens, on either side, of the groups of two rows of tokens that cover the same bytes, by the tokens' sizes.
 
+    The rows may be those of many texts one after another: texts end together on both sides, so that no group passes an end.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes, dtype=np.int64), np.cumsum(b_sizes, dtype=np.int64)
+    at = np.searchsorted(b_ends, a_ends)
+    a_last = np.flatnonzero(b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends) if len(b_ends) else np.zeros(0, np.int64)
+    return a_last, at[a_last]
 
-def _places(ends: Column, common: Column) -> Column:
-    """The places, from 0, of the tokens that end a group: in the sorted list of both, their ends stand twice."""
-    both = F.sort_array(F.concat(ends, common))
 
-    def found(sorted_: Column) -> Column:
-        twice = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 2), lambda i: F.get(sorted_, i) == F.get(sorted_, i + 1))
-        return F.transform(twice, lambda i, k: i - k)
+def crossed(a: np.ndarray, a_first: np.ndarray, a_last: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_last: np.ndarray) -> np.ndarray:
+    """The pairs, A's id above B's, of each A with each B token of its group, group after group."""
+    m, n = a_last - a_first + 1, b_last - b_first + 1
+    of_a = np.repeat(n, m)  # partners of each A token
+    inner = np.arange(of_a.sum()) - np.repeat(np.cumsum(of_a) - of_a, of_a)
+    return (np.repeat(a, of_a).astype(np.int64) << 32) + b[np.repeat(np.repeat(b_first, m), of_a) + inner]
 
-    return let(both, found)
 
+def _firsts(last: np.ndarray) -> np.ndarray:
+    return np.append(0, last[:-1] + 1) if len(last) else last
 
-def _parts(ids: Column, last: Column) -> Column:
-    """The ids of each group, whose last tokens are at ``last``."""
 
-    def part(at: Column, k: Column) -> Column:
-        first = F.coalesce(F.get(last, k - 1), F.lit(-1)) + 1
-        return F.when(at == first, F.array(F.get(ids, at))).otherwise(F.slice(ids, first + 1, at - first + 1))
+def _encoded(batch: pa.RecordBatch, a: ByteTokens, b: PieceTokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Both sides' ids of the texts in the batch's second column; none where either side doesn't give back the bytes."""
+    none, left, right = np.zeros(0, np.int32), [], []
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    for text, x, y in zip(texts, a.encode([" " + t for t in texts]), b.encode(texts)):
+        raw = b" " + text.encode()
+        good = text and b"".join(map(a.entries.__getitem__, x)) == raw and b"".join(map(b.entries.__getitem__, y)) == raw
+        left.append(np.array(x, np.int32) if good else none)
+        right.append(np.array(y, np.int32) if good else none)
+    return left, right
 
-    return F.transform(last, part)
 
+class _Groups:
+    """The groups of a batch: ids of both sides, the groups' last tokens, and each text's first group, with the end."""
 
-def groups_of(a_ids: Column, a_ends: Column, b_ids: Column, b_ends: Column) -> Column:
-    """array<struct<a, b>>: the ids of either side between offsets at which both sides' tokens end."""
-    side = lambda ids, ends, common: let(_places(ends, common), lambda last: _parts(ids, last))
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    none = F.array().cast("array<struct<a: array<int>, b: array<int>>>")
-    cut = lambda common: F.zip_with(side(a_ids, a_ends, common), side(b_ids, b_ends, common), pair)
-    return let(F.array_intersect(a_ends, b_ends), lambda common: F.when(F.size(common) > 0, cut(common)).otherwise(none))
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray], a_sizes: np.ndarray, b_sizes: np.ndarray):
+        (self.a, self.a_at), (self.b, self.b_at) = _flat(left), _flat(right)
+        self.a_last, self.b_last = cut(a_sizes[self.a], b_sizes[self.b])
+        self.a_first, self.b_first = _firsts(self.a_last), _firsts(self.b_last)
+        self.at = np.searchsorted(self.a_last, self.a_at)
+        self.sizes = np.diff(self.at)
 
+    def links(self) -> pa.Array:
+        """The links of each text."""
+        each = (self.a_last - self.a_first + 1) * (self.b_last - self.b_first + 1)
+        ends = np.append(0, np.cumsum(each))[self.at]
+        pairs = crossed(self.a, self.a_first, self.a_last, self.b, self.b_first, self.b_last)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs))
 
-def _alone(group: Column) -> Column:
-    return (F.size(group["a"]) == 1) & (F.size(group["b"]) == 1)
+    def digests(self, a_told: np.ndarray, b_told: np.ndarray) -> list[str]:
+        """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of each text, '' without tokens; from the ids as written with a comma behind."""
+        n, m = len(self.a), len(self.b)
+        parts = np.empty(n + m, object)
+        # A's tokens of a group stand before B's; those of a group's end carry the mark that follows.
+        a_group, b_group = np.searchsorted(self.a_last, np.arange(n)), np.searchsorted(self.b_last, np.arange(m))
+        a_mark, b_mark = np.zeros(n, np.int8), np.zeros(m, np.int8)
+        a_mark[self.a_last] = b_mark[self.b_last] = 1
+        ends = self.at[1:][self.sizes > 0] - 1  # the texts' last groups
+        b_mark[self.b_last[ends]] = 2
+        a_place = np.arange(n) + self.b_first[a_group]
+        b_place = np.arange(m) + self.a_last[b_group] + 1
+        parts[a_place], parts[b_place] = a_told[a_mark, self.a], b_told[b_mark, self.b]
+        told = parts.tolist()
+        return [hashlib.sha256(b"".join(told[i:j])).hexdigest() if j > i else "" for i, j in itertools.pairwise((self.a_at + self.b_at).tolist())]
 
 
-def _pair(a: Column, b: Column) -> Column:
-    """Both ids in one long, A's above."""
-    return F.shiftleft(a.cast("long"), 32) + b
+def _written(ids: int, marks: tuple[bytes, ...]) -> np.ndarray:
+    """The decimals of all ids, each with each mark behind it."""
+    return np.array([[b"%d%s" % (i, mark) for i in range(ids)] for mark in marks], object)
 
 
-def links_of(groups: Column) -> Column:
-    """array<long>: the pairs of all token occurrences that share a group."""
-    some = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
-    return F.flatten(F.transform(groups, lambda g: F.when(_alone(g), F.array(_pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(some(g))))
+_TOLD: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def written(groups: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the groups' ids in order."""
-    one = lambda ids: F.get(ids, F.lit(0)).cast("string")
-    some = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    told = lambda g: F.when(_alone(g), F.concat(one(g["a"]), F.lit("|"), one(g["b"]))).otherwise(F.concat(some(g["a"]), F.lit("|"), some(g["b"])))
-    return F.array_join(F.transform(groups, told), ";")
+def _told(byte_path: str, piece_path: str, a: ByteTokens, b: PieceTokens) -> tuple[np.ndarray, np.ndarray]:
+    if (byte_path, piece_path) not in _TOLD:
+        _TOLD[byte_path, piece_path] = _written(len(a.sizes), (b",", b"|")), _written(len(b.sizes), (b",", b";", b""))
+    return _TOLD[byte_path, piece_path]
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -170,8 +180,34 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     does not give back byte by byte (U+2581 is one that B reads as a space), have no tokens and no groups. Ids may be
     null or repeated; texts of any length are taken whole; an empty table stays so.
     """
-    groups = groups_of(*(F.col(c) for c in ("a_ids", "a_ends", "b_ids", "b_ends")))
-    return tokenize(docs, byte_path, piece_path).select("doc_id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), groups.alias("groups"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _loaded(ByteTokens, byte_path), _loaded(PieceTokens, piece_path)
+        for batch in slices(batches, 64):
+            g = _Groups(*_encoded(batch, a, b), a.sizes, b.sizes)
+            sides = [pa.ListArray.from_arrays(pa.array(np.append(0, last + 1), pa.int32()), pa.array(ids)) for last, ids in ((g.a_last, g.a), (g.b_last, g.b))]
+            groups = pa.ListArray.from_arrays(pa.array(g.at, pa.int32()), pa.StructArray.from_arrays(sides, names=["a", "b"]))
+            sizes = (pa.array(np.diff(x), pa.int32()) for x in (g.a_at, g.b_at))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, groups], names=["doc_id", "n_a", "n_b", "groups"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return chosen.mapInArrow(run, "doc_id long, n_a int, n_b int, groups array<struct<a: array<int>, b: array<int>>>")
+
+
+def linked(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, links and groups_sha256 of the groups that ``align`` returns, which themselves aren't moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _loaded(ByteTokens, byte_path), _loaded(PieceTokens, piece_path)
+        told = _told(byte_path, piece_path, a, b)
+        for batch in slices(batches, 64):
+            g = _Groups(*_encoded(batch, a, b), a.sizes, b.sizes)
+            sizes = (pa.array(x, pa.int32()) for x in (np.diff(g.a_at), np.diff(g.b_at), g.sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, g.links(), pa.array(g.digests(*told), pa.string())], names=names)
+
+    names = ["doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256"]
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return chosen.mapInArrow(run, "doc_id long, n_a int, n_b int, n_groups int, links array<long>, groups_sha256 string")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -212,8 +248,7 @@ def alignment_report(docs: DataFrame, byte_path: str, piece_path: str, most: int
     over all links how many documents hold their pair. Repeated rows are documents each. Without tokens all are 0 and the digest is ''.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    digest = F.when(F.size("groups") > 0, F.sha2(written(F.col("groups")).cast("binary"), 256)).otherwise("")
-    rows = align(docs, byte_path, piece_path).select("doc_id", "n_a", "n_b", F.size("groups").alias("n_groups"), links_of(F.col("groups")).alias("links"), digest.alias("groups_sha256"))
+    rows = linked(docs, byte_path, piece_path)
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     counts = scratch.keep(pair_counts(rows), "counts")
     sums = scratch.keep(with_counts(rows.select("row", "links"), counts, scratch, most), "totals")

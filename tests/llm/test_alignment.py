@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from dialoom.llm import alignment, queries
 
 ODD = [
@@ -80,3 +82,32 @@ def test_both_byte_tokenizers_agree():
     a = alignment.ByteTokens(queries.aligned_paths()[0])
     for text in filter(None, ODD):
         assert a.fast.encode_ordinary(" " + text[:4000]) == a.own.encode(" " + text[:4000], add_special_tokens=False).ids
+
+
+def test_groups_of_many_texts_at_once():
+    """Texts one after another, some without tokens, cut at once against each cut by loops; no group passes a text's end."""
+    rng = random.Random(5)
+    sizes = [np.array([rng.randint(1, 4) for _ in range(50)], np.int32) for _ in "ab"]
+    told = alignment._written(50, (b",", b"|")), alignment._written(50, (b",", b";", b""))
+    for texts in (0, 1, 9):
+        sides, wanted = ([], []), []
+        for _ in range(texts):
+            rows, ends = [[], []], [[], []]
+            for _ in range(rng.choice([0, 1, 30])):
+                for row, own, size in zip(rows, ends, sizes):
+                    row.append(rng.randrange(50))
+                    own.append((own[-1] if own else 0) + int(size[row[-1]]))
+            while any(rows) and ends[0][-1] != ends[1][-1]:
+                k = int(ends[0][-1] > ends[1][-1])
+                row, own = rows[k], ends[k]
+                row.append(next(i for i in range(50) if sizes[k][i] == 1))
+                own.append(own[-1] + 1)
+            marks = sorted({*ends[0]} & {*ends[1]})
+            parts = [[[i for i, e in zip(row, own) if lo < e <= hi] for lo, hi in zip([0, *marks], marks)] for row, own in zip(rows, ends)]
+            for side, row in zip(sides, rows):
+                side.append(np.array(row, np.int32))
+            links = [(x << 32) + y for p, q in zip(*parts) for x in p for y in q]
+            text = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in zip(*parts))
+            wanted.append((len(marks), links, hashlib.sha256(text.encode()).hexdigest() if marks else ""))
+        g = alignment._Groups(*sides, *sizes)
+        assert list(zip(g.sizes.tolist(), g.links().to_pylist(), g.digests(*told))) == wanted
