@@ -143,3 +143,17 @@ def test_recall_of_changed_passages(spark):
     for kind, sought in wanted.items():
         assert sum(p in pairs for p in sought) >= 0.9 * len(sought), kind
     assert pairs <= {p for sought in wanted.values() for p in sought}
+
+
+def test_passages_around_a_common_phrase(spark):
+    """Sixty passages, each of two texts, that all lie around one phrase; rounds with one head at a time leave most of them out."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, texts = [f"p{i}" for i in range(42)], []
+    for i in range(60):
+        passage = [*fresh(4), *phrase, *fresh(4)]
+        texts += [(2 * i, " ".join(fresh(30) + passage + fresh(30))), (2 * i + 1, " ".join(fresh(40) + passage + fresh(20)))]
+    texts += [(200 + i, " ".join(fresh(50) + phrase + fresh(50))) for i in range(12)]
+    got = passages.near_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(1)).collect()
+    assert sorted((r["doc_id"], r["source_doc_id"]) for r in got) == [(2 * i + 1, 2 * i) for i in range(60)]
+    assert all((r["start"], r["n_words"], r["source_start"]) == (40, 50, 30) for r in got)
