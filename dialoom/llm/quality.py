@@ -133,15 +133,32 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 1200, rate: float = 0.02, de
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[bytes, int]]:
-    """At most ``sample_rows`` labelled texts outside the held-out fold, by the hash of their ids."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, quality) of at most ``sample_rows`` labelled texts outside the held-out fold, by the hash of their ids; in order of id, in one partition."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (id_crc_mod(F.col("doc_id"), 5) != 0))
     chosen = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     size = docs.select("doc_id", text_bytes("text").alias("text"))
     found = size.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # the sample's bound is the broadcast's
-    once = found.groupBy("doc_id").agg(F.max(F.struct("text", "quality")).alias("x")).orderBy("doc_id")  # at most sample_rows rows
-    return [(bytes(r["x"]["text"]), int(r["x"]["quality"])) for r in once.collect()]
+    once = found.groupBy("doc_id").agg(F.max(F.struct("text", "quality")).alias("x"))  # at most sample_rows rows
+    return once.repartition(1).sortWithinPartitions("doc_id").select("x.text", F.col("x.quality").cast("int").alias("quality"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of the sampled rows, fitted in a task: the driver gets its weights, never a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, int]] = []
+        for batch in batches:
+            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        if rows:
+            model = fit(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (model.bias, model.linear.tobytes(), model.factors.tobytes())], names=["bias", "linear", "factors"])
+
+    found = training_rows(docs, labels, sample_rows).mapInArrow(run, "bias double, linear binary, factors binary").first()
+    if found is None:
+        return fit([])
+    return Model(found["bias"], np.frombuffer(found["linear"], np.float32), np.frombuffer(found["factors"], np.float32).reshape(FEATURES, FACTORS))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -153,7 +170,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     the fold; repeated rows get equal scores; without any labels every score is
     one half. A document labelled twice counts with its higher label.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, sample_rows)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample_rows))
     return score_with(docs, model)
 
 
@@ -188,7 +205,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     Each row is judged by its own text, whatever its id; null texts are empty ones and are scored as such; repeated
     rows go or stay together; columns of any name are passed through; an empty table stays so; without labels all rows stay.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, sample_rows)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample_rows))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

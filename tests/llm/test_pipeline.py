@@ -1,11 +1,12 @@
 """The stages on nulls, empty and repeated rows, ties, long texts, an empty table and clashing columns."""
 
 import random
+import zlib
 
 import pytest
 
 import corpus_pipeline
-from dialoom.llm import decontaminate, minhash
+from dialoom.llm import decontaminate, minhash, quality
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long, row string, key long, bad boolean, `a b` int"
 RNG = random.Random(5)
@@ -107,3 +108,20 @@ def test_all_stages_on_an_empty_table_and_on_rows(spark, docs, sf_dir):
 def test_row_key_of_the_stage_is_that_of_the_sets(spark, docs):
     """Rows without an id are found again by the key under which they were grouped."""
     assert minhash.dedup(docs.where("doc_id is null")).count() == 3
+
+
+def test_the_classifier_is_fitted_outside_the_driver(spark, monkeypatch):
+    texts = [(i, f"{'good words here' if i % 2 else 'SPAM! 99 $$'} {i} {i % 7}") for i in range(1, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    seen = [(t.encode(), i % 2) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    wanted = quality.fit(seen)
+
+    def never(text):
+        raise AssertionError("a text came to the driver")
+
+    monkeypatch.setattr(quality, "features", never)
+    model = quality.fitted(docs, labels)
+    assert model.bias == wanted.bias and (model.linear == wanted.linear).all() and (model.factors == wanted.factors).all()
+    empty = quality.fitted(docs, labels.limit(0))
+    assert empty.bias == 0 and not empty.factors.any()
