@@ -2,8 +2,10 @@
 
 Training counts every word of every training text. The most frequent words are clustered
 by exchange: each word moves to the class that raises the likelihood of the class bigrams
-most, until none moves. Every other word joins, by one exchange step, that group
-class which fits the classes before it best. A text's score is the sum over
+most, until none moves. Every other word, however rare, joins by one exchange step that of all classes
+which fits the classes before and after all of its occurrences best; neighbours that aren't
+clustered themselves count as a class of their own. Frequent and other words of a class share its contexts, but are
+two classes of the model, so that rare words don't thin out the frequent ones. A text's score is the sum over
 its tokens of log10 P(class | class before) + log10 P(word | class), with
 
     P(word | class)  = (n(word) + 1/2) / (n(class) + V(class) / 2)
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, text_bytes
 
-#: Words that are clustered, their classes, and the groups that the other words join.
-CLUSTERED, CLASSES, GROUPS = 1024, 32, 4
+#: Words that are clustered among each other, and their classes, which all other words join.
+CLUSTERED, CLASSES = 1024, 32
 BACKOFF = 40.0
 BLOCK_TOKENS = 2_000_000
 END = b""
-_UNKNOWN = CLASSES + GROUPS
+_UNKNOWN = 2 * CLASSES
 _ALL = _UNKNOWN + 1
 
 
@@ -184,34 +186,79 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return of
 
 
-def contexts(blocks: DataFrame, known: dict[bytes, int], group: np.ndarray) -> DataFrame:
-    """(word, g0, ...): for each word that isn't clustered, how often each group stands before it."""
+def contexts(blocks: DataFrame, known: dict[bytes, int], class_: np.ndarray) -> DataFrame:
+    """(word, around): for each word that isn't clustered and each block, how often each class stands before and after it.
+
+    ``around`` holds pairs of bytes, a context and its count; contexts are the classes before, then those after, and greater counts take several pairs.
+    """
     size = len(known) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _each_block(batches):
             rank = _ranks(b, known, size - 1, size - 2)
-            ahead = b.before(group[rank], int(group[size - 2]))
+            own = class_[rank]
             mine = b.training & (rank == size - 1)
-            counts = np.bincount(b.codes[mine] * np.int64(GROUPS + 1) + ahead[mine], minlength=len(b.words) * (GROUPS + 1)).reshape(-1, GROUPS + 1)
-            at = np.flatnonzero(counts.sum(axis=1))
-            if len(at):
-                columns = [pa.array([b.words[i] for i in at.tolist()], pa.binary()), *(pa.array(counts[at, g]) for g in range(GROUPS))]
-                yield from pa.Table.from_arrays(columns, names=["word", *(f"g{g}" for g in range(GROUPS))]).to_batches(max_chunksize=50_000)
-
-    names = [f"g{g}" for g in range(GROUPS)]
-    rows = blocks.mapInArrow(run, "word binary, " + ", ".join(f"{g} long" for g in names))
-    return rows.groupBy("word").agg(*(F.sum(g).alias(g) for g in names))
-
-
-def _group_weights(bigrams: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """log of how much likelier group b is after group a than anywhere; for words outside the groups nothing is known."""
-    member = np.zeros((len(bigrams), GROUPS))
-    for i, g in enumerate(group):
-        if g < GROUPS:
-            member[i, g] = 1
+            before, after = b.before(own, int(class_[size - 2]))[mine], np.roll(own, -1)[mine] + CLASSES + 1
+            word = b.codes[mine].astype(np.int64) * (2 * CLASSES + 2)
+            code, n = np.unique(np.concatenate([word + before, word + after]), return_counts=True)
+            whole = -(-n // 255)
+            last = np.cumsum(whole) - 1
+            pairs = np.full((int(whole.sum()), 2), 255, np.uint8)
+            pairs[:, 0] = np.repeat(code % (2 * CLASSES + 2), whole)
+            pairs[last, 1] = n - 255 * (whole - 1)
+            of, first = np.unique(np.repeat(code // (2 * CLASSES + 2), whole), return_index=True)
+            if len(of):
+                ends = pa.array(np.append(first, len(pairs)).astype(np.int32) * 2).buffers()[1]
+                around = pa.Array.from_buffers(pa.binary(), len(of), [None, ends, pa.py_buffer(pairs.tobytes())])
+                columns = [pa.array([b.words[i] for i in of.tolist()], pa.binary()), around]
+                yield from pa.Table.from_arrays(columns, names=["word", "around"]).to_batches(max_chunksize=50_000)
+
+    return blocks.mapInArrow(run, "word binary, around binary")
+
+
+def joined_classes(around: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(word, n, class): each word of ``contexts`` with its count and the class that fits all its contexts best, the first of equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, n, fit = None, 0, np.zeros(CLASSES)  # of the last word, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(0).to_pylist()
+            raw = batch.column(1)
+            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            pairs = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 2)
+            new = np.flatnonzero([x != y for x, y in zip(rows, [word, *rows])])
+            at = np.unique(np.append(0, new))  # where the batch's words begin, the one that goes on included
+            start = (ends[at] - ends[0]) // 2
+            fits = np.add.reduceat(weights[pairs[:, 0]] * pairs[:, 1:], start)
+            sums = np.add.reduceat(np.where(pairs[:, 0] <= CLASSES, pairs[:, 1], 0).astype(np.int64), start)
+            names = [rows[i] for i in at.tolist()]
+            if names[0] == word:
+                fits[0] += fit
+                sums[0] += n
+            elif word is not None:
+                names, sums, fits = [word, *names], np.append(n, sums), np.vstack([fit, fits])
+            word, n, fit = names.pop(), sums[-1], fits[-1]
+            if names:
+                yield found(names, sums[:-1], fits[:-1])
+        if word is not None:
+            yield found([word], np.array([n], np.int64), fit[None, :])
+
+    def found(names: list[bytes], n: np.ndarray, fits: np.ndarray) -> pa.RecordBatch:
+        best = np.argmax(np.round(fits, 6), axis=1) + CLASSES  # rounded, as the order of a word's blocks is any
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n.astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
+
+
+def context_weights(bigrams: np.ndarray, class_: np.ndarray) -> np.ndarray:
+    """For each context, a class before or after, how much likelier it is beside each class than anywhere: logarithms, (2 * CLASSES + 2) x CLASSES."""
+    member = np.zeros((len(bigrams), CLASSES + 1))
+    member[np.arange(len(bigrams)), class_] = 1
     pair = member.T @ bigrams @ member + 0.5
-    return np.log(pair * pair.sum() / (pair.sum(axis=1, keepdims=True) * pair.sum(axis=0, keepdims=True)))
+    near = np.log(pair * pair.sum() / (pair.sum(axis=1, keepdims=True) * pair.sum(axis=0, keepdims=True)))
+    return np.concatenate([near[:, :CLASSES], near[:CLASSES].T])
 
 
 def train(docs: DataFrame, scratch: Scratch) -> dict:
@@ -221,26 +268,19 @@ def train(docs: DataFrame, scratch: Scratch) -> dict:
     counts = local.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts, "counts")
     texts = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(CLUSTERED).collect()]
-    known = {w: i for i, w in enumerate(top)}
+    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(CLUSTERED).collect()]
+    known = {w: i for i, (w, _) in enumerate(top)}
     size = len(top) + 2
     matrix = np.zeros((size, size))
     for r in frequent_bigrams(blocks, known).toLocalIterator():
         matrix[r["code"] // size, r["code"] % size] = r["n"]
     of = exchange(matrix[: size - 1, : size - 1], CLASSES)  # the clustered words and the end
-    member = np.zeros((size - 1, CLASSES))
-    member[np.arange(size - 1), of] = 1
-    coarse = exchange(member.T @ matrix[: size - 1, : size - 1] @ member, GROUPS)
-    group = np.append(coarse[of], GROUPS).astype(np.int64)
-    weights = _group_weights(matrix, group)
-    fits = [sum((F.col(f"g{a}") * float(weights[a, b]) for a in range(GROUPS)), F.lit(0.0)) for b in range(GROUPS)]
-    best = F.greatest(*fits)
-    chosen = F.lit(CLASSES + GROUPS - 1)
-    for g in range(GROUPS - 2, -1, -1):
-        chosen = F.when(fits[g] == best, CLASSES + g).otherwise(chosen)
-    joined = contexts(blocks, known, group).select("word", chosen.alias("class"))
-    named = docs.sparkSession.createDataFrame([(bytearray(w), int(of[i])) for w, i in known.items()], "word binary, class int")  # <= CLUSTERED rows
-    vocabulary = scratch.keep(counts.join(joined.union(named), "word"), "vocabulary")
+    class_ = np.append(of, CLASSES).astype(np.int64)
+    joined = joined_classes(contexts(blocks, known, class_), context_weights(matrix, class_))
+    rows = [(bytearray(w), n, int(of[i])) for i, (w, n) in enumerate(top)]
+    named = docs.sparkSession.createDataFrame(rows, "word binary, n long, class int")  # <= CLUSTERED rows
+    vocabulary = scratch.keep(joined.union(named), "vocabulary")
+    scratch.drop(counts)
     total, types, once = np.zeros(_ALL), np.zeros(_ALL), 0
     for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect():
         total[r["class"]], types[r["class"]] = r["n"], r["v"]
