@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from dialoom.llm import lines, minhash, passages
+from dialoom.llm.scratch import Scratch
 
 
 def shingles(text):
@@ -157,3 +158,27 @@ def test_passages_around_a_common_phrase(spark):
     got = passages.near_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(1)).collect()
     assert sorted((r["doc_id"], r["source_doc_id"]) for r in got) == [(2 * i + 1, 2 * i) for i in range(60)]
     assert all((r["start"], r["n_words"], r["source_start"]) == (40, 50, 30) for r in got)
+
+
+def test_passages_over_a_common_phrase_and_a_changed_word(spark):
+    """Pairs that differ in a word beside a phrase of 30 words that all texts hold, found without comparing all texts that hold it."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, texts = [f"q{i}" for i in range(30)], []
+    for i in range(60):
+        rest = fresh(22)
+        for k, middle in enumerate((fresh(1), fresh(1) if i % 2 else [])):
+            passage = [*phrase, *middle, *rest] if i % 3 else [*rest, *middle, *phrase]
+            texts.append((2 * i + k, " ".join([*fresh(30 + 10 * k), *passage, *fresh(30)])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(1)
+    scratch = Scratch(spark, "passages")
+    windows = passages.window_keys(docs).cache()
+    told = windows.where("doc_id is not null").select("row", "doc_id", "text", "n")
+    tokens = passages._tokens(docs, told).cache()
+    left = windows.where("key is not null").select("key", "row", "c")
+    pairs = passages._last_pairs(scratch.keep(passages._surroundings(left, tokens), "near"), left, scratch)
+    ids = {r["row"]: r["doc_id"] for r in told.collect()}
+    met = {tuple(sorted((ids[r["row_a"]], ids[r["row"]]))) for r in pairs.collect()}
+    assert met == {(2 * i, 2 * i + 1) for i in range(60)}
+    got = passages.near_passages(docs).collect()
+    assert {(r["source_doc_id"], r["doc_id"]) for r in got} == met
