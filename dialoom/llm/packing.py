@@ -46,8 +46,9 @@ class _WordIds(dict):
     words, and those of ``word,`` are those of ``word`` and of ``,``.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, most: int = CACHED_WORDS):
         super().__init__()
+        self.most = most
         self.old: dict[bytes, bytes] = {}
         self.tokenizer = tokenizer
 
@@ -61,7 +62,7 @@ class _WordIds(dict):
                 raw = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
                 ids = array.array("I", raw).tobytes()
         if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = ids
@@ -71,11 +72,12 @@ class _WordIds(dict):
 _CACHES: dict[str, _WordIds] = {}
 
 
-def _word_ids(path: str) -> _WordIds:
+def _word_ids(path: str, most: int = CACHED_WORDS) -> _WordIds:
     if path not in _CACHES:
         from tokenizers import Tokenizer
 
         _CACHES[path] = _WordIds(Tokenizer.from_file(path))
+    _CACHES[path].most = most
     return _CACHES[path]
 
 
@@ -166,11 +168,11 @@ def _runs(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 44) + table[:, 1], "rank": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, cached: int = CACHED_WORDS) -> DataFrame:
     """Pieces of at most ``capacity`` tokens, with their rank among equal lengths of the partition."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, part = _word_ids(tokenizer_path), Counter(), TaskContext.get().partitionId()
+        words, seen, part = _word_ids(tokenizer_path, cached), Counter(), TaskContext.get().partitionId()
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -189,7 +191,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text")).mapInArrow(pieces, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, cached: int = CACHED_WORDS) -> DataFrame:
     """Place every token of every document into sequences of at most ``capacity`` tokens.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. A null or empty
@@ -197,11 +199,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     rows are packed as often as they occur; an empty table gives an empty
     result. Texts of any length are cut into full pieces and one rest. Ties
     between equal lengths are broken by input partition and position.
-    ``keep_ids`` adds the token ids as little-endian 32-bit ``ids``.
+    ``keep_ids`` adds the token ids as little-endian 32-bit ``ids``; ``cached`` is how many
+    words each worker keeps the ids of, some 400 bytes each, and changes no result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.keep(tokenize_pieces(docs, tokenizer_path, capacity, keep_ids), "pieces")
+    pieces = scratch.keep(tokenize_pieces(docs, tokenizer_path, capacity, keep_ids, cached), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select(

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from dialoom.llm import lines, minhash, passages
+from dialoom.llm import lines, minhash, packing, passages
+from dialoom.llm.queries import tokenizer_path
 from dialoom.llm.scratch import Scratch
 
 
@@ -182,3 +183,11 @@ def test_passages_over_a_common_phrase_and_a_changed_word(spark):
     assert met == {(2 * i, 2 * i + 1) for i in range(60)}
     got = passages.near_passages(docs).collect()
     assert {(r["source_doc_id"], r["doc_id"]) for r in got} == met
+
+
+def test_ids_do_not_depend_on_how_many_words_are_kept(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["Word,", "it's", f"n{rng.randrange(50)}", "<|x|>", "(a)b!"]) for _ in range(200))) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    few, many = (packing.pack_documents(docs, tokenizer_path(), cached=k).collect() for k in (3, 1000))
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in few) == sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in many)
