@@ -185,6 +185,30 @@ def test_passages_over_a_common_phrase_and_a_changed_word(spark):
     assert {(r["source_doc_id"], r["doc_id"]) for r in got} == met
 
 
+def test_every_document_with_a_repeated_passage_has_a_row(spark):
+    """Three texts with one passage, of which one has the smallest id, two copies of another text and one of its own words."""
+    w = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(k, f"{w(f'x{k}y', 40)} {w('p', 60)} {w(f'z{k}y', 30 + k)}") for k in (1, 2, 3)] + [(4, w("c", 70)), (5, w("c", 70)), (6, w("o", 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["n_words"]) for r in passages.near_passages(docs, both_sides=True).collect()}
+    assert got == {(1, 40, 60), (2, 40, 60), (3, 40, 60), (4, 0, 70), (5, 0, 70)}
+    assert {r["doc_id"] for r in passages.near_passages(docs).collect()} == {2, 3, 5}
+
+
+def test_seeds_deep_inside_a_repeating_stretch_are_left_out():
+    rng = random.Random(3)
+    before, after = ([f"{x}{rng.random()}" for _ in range(40)] for x in "ba")
+    for period in (1, 3, 12):
+        keys = []
+        for length in (120, 900, 4000):
+            words = [*before, *[f"s{i % period}" for i in range(length)], *after]
+            c, key = passages.seeds(minhash.shingle_hashes(" ".join(words).encode()))
+            assert len(c) < 260
+            keys.append(set(key.tolist()))
+        assert keys[1] == keys[2] or period > 1
+        assert all(a & b for a in keys for b in keys)
+
+
 def test_ids_do_not_depend_on_how_many_words_are_kept(spark):
     rng = random.Random(8)
     texts = [(i, " ".join(rng.choice(["Word,", "it's", f"n{rng.randrange(50)}", "<|x|>", "(a)b!"]) for _ in range(200))) for i in range(20)]
